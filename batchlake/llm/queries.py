@@ -6,16 +6,47 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat, licenses, nbsvm, packing, quality, simhash
 from .durable import parquet
-from .simhash import near_duplicates
+
+
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(parquet(spark, sf_dir, "documents"))
+
+
+def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(parquet(spark, sf_dir, "documents"))
+
+
+def op6_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.perspectives(parquet(spark, sf_dir, "conversations"))
+
+
+def op7_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ledger(parquet(spark, sf_dir, "documents"))
+
+
+def op7_quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.ablation(quality.ledger(parquet(spark, sf_dir, "documents")))
+
+
+def op8_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.classify(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels"))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(parquet(spark, sf_dir, "documents")).select("doc_id", "kept_doc_id", "group_size")
+    return simhash.near_duplicates(parquet(spark, sf_dir, "documents")).select("doc_id", "kept_doc_id", "group_size")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op10_simhash": op10_simhash,
+    f.__name__: f
+    for f in (op1_license_scan, op2_harmonic_packing, op6_chat_perspectives, op7_quality_ledger, op7_quality_ablation, op8_nbsvm_quality, op10_simhash)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": licenses.SCAN_SQL,
+    "op2_harmonic_packing": packing.PACK_SQL,
+    "op6_chat_perspectives": chat.PERSPECTIVES_SQL,
+    "op7_quality_ledger": quality.LEDGER_SQL,
+    "op7_quality_ablation": quality.ABLATION_SQL,
+}

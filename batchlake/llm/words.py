@@ -21,14 +21,12 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _powers: dict[str, np.ndarray] = {}
 
-#: Byte classes: True where a byte belongs to a word.
-SPACED = np.arange(256) > 32
-_alnum = np.zeros(256, bool)
-for _c in b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ_":
-    _alnum[_c] = True
-_alnum[128:] = True
+#: Byte classes: 0 is outside of words; a word is a run of bytes of one other class.
+SPACED = (np.arange(256) > 32).astype(np.uint8)
 #: Letters, digits and every byte of a non-ASCII character.
-ALNUM = _alnum
+ALNUM = np.array([chr(c).isalnum() or c == 95 or c > 127 for c in range(256)]).astype(np.uint8)
+#: The same, and runs of punctuation as words of their own.
+PUNCTUATED = np.where(ALNUM == 1, 1, 2 * SPACED).astype(np.uint8)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -94,11 +92,12 @@ def words(part: pa.Array, lower: bool = True, inside: np.ndarray = ALNUM) -> Wor
         return Words(none, none, none, np.zeros(0, np.uint64), off - off[0], np.zeros(0, np.uint8))
     data = np.frombuffer(part.buffers()[2], np.uint8)[off[0] : off[-1]]
     off = off - off[0]
-    isw = inside[data]
-    first = isw.copy()
-    first[1:] &= ~isw[:-1]
-    last = isw.copy()
-    last[:-1] &= ~isw[1:]
+    cls = inside[data]
+    isw = cls != 0
+    change = cls[1:] != cls[:-1]
+    first, last = isw.copy(), isw.copy()
+    first[1:] &= change
+    last[:-1] &= change
     begins = off[:-1][off[:-1] < off[1:]]
     first[begins] = isw[begins]
     last[begins[1:] - 1] = isw[begins[1:] - 1]
@@ -115,7 +114,7 @@ def words(part: pa.Array, lower: bool = True, inside: np.ndarray = ALNUM) -> Wor
 
 def word_hash(word: str) -> int:
     """The hash that words() gives this word."""
-    w = words(pa.array([word], pa.large_string()), lower=False, inside=np.ones(256, bool))
+    w = words(pa.array([word], pa.large_string()), lower=False, inside=np.ones(256, np.uint8))
     return int(w.hash[0]) if len(w.hash) else 0
 
 
