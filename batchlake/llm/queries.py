@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, nbsvm, packing, quality, simhash
+from . import chat, licenses, nbsvm, packing, quality, simhash, substring
 from .durable import parquet
 
 
@@ -34,13 +34,17 @@ def op8_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.classify(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels"))
 
 
+def op9_substring_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(parquet(spark, sf_dir, "documents")).select("doc_id", "start", "end", "kept_doc_id")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(parquet(spark, sf_dir, "documents")).select("doc_id", "kept_doc_id", "group_size")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_harmonic_packing, op6_chat_perspectives, op7_quality_ledger, op7_quality_ablation, op8_nbsvm_quality, op10_simhash)
+    for f in (op1_license_scan, op2_harmonic_packing, op6_chat_perspectives, op7_quality_ledger, op7_quality_ablation, op8_nbsvm_quality, op9_substring_repeats, op10_simhash)
 }
 
 ORACLE_SQL: dict[str, str] = {

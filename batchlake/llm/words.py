@@ -29,6 +29,9 @@ ALNUM = np.array([chr(c).isalnum() or c == 95 or c > 127 for c in range(256)]).a
 PUNCTUATED = np.where(ALNUM == 1, 1, 2 * SPACED).astype(np.uint8)
 
 
+ASCII_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x.astype(np.uint64, copy=True)
@@ -51,6 +54,16 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def spans(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each sequence h[start:end]."""
+    up, down = _tables(len(h) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.empty(len(h) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(h * up[: len(h)], out=sums[1:])
+        return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 class Words(NamedTuple):
     """Words of a slice: document (from 0 in the slice), byte range in the slice, hash."""
 
@@ -82,9 +95,12 @@ def slices(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, pa.Array]]:
         at = to
 
 
-def words(part: pa.Array, lower: bool = True, inside: np.ndarray = ALNUM) -> Words:
-    """All words of a slice of texts (large_string, without nulls)."""
-    if lower:
+def words(part: pa.Array, lower: bool | str = True, inside: np.ndarray = ALNUM) -> Words:
+    """All words of a slice of texts (large_string, without nulls).
+
+    lower="ascii" lowers ASCII letters only, so byte offsets stay those of the text.
+    """
+    if lower is True:
         part = pc.utf8_lower(part)
     off = np.frombuffer(part.buffers()[1], np.int64)[part.offset : part.offset + len(part) + 1]
     if part.buffers()[2] is None or off[-1] == off[0]:
@@ -92,6 +108,8 @@ def words(part: pa.Array, lower: bool = True, inside: np.ndarray = ALNUM) -> Wor
         return Words(none, none, none, np.zeros(0, np.uint64), off - off[0], np.zeros(0, np.uint8))
     data = np.frombuffer(part.buffers()[2], np.uint8)[off[0] : off[-1]]
     off = off - off[0]
+    if lower == "ascii":
+        data = ASCII_LOWER[data]
     cls = inside[data]
     isw = cls != 0
     change = cls[1:] != cls[:-1]
