@@ -37,6 +37,7 @@ from .components import components, local_labels
 from .durable import durable
 
 REACH = 4
+SAME = 16
 MIN_PARAGRAPH, MIN_RUN, JACCARD, RECALL = 20, 20, 0.7, 0.96
 PIECE = 15  # in the lowest 4 bits of a key: the band, or this for a piece
 BROADCAST_ROWS = 1_000_000
@@ -67,8 +68,16 @@ def cuts(w: tw.Words) -> np.ndarray:
         at[:-d] &= other | (v[:-d] < v[d:])
         at[d:] &= other | (v[d:] < v[:-d])
     if n:
-        at[0] = True
-        at[1:] |= w.doc[1:] != w.doc[:-1]
+        new = np.append(True, w.doc[1:] != w.doc[:-1])
+        # one word again and again has no least place: such a run is cut into stretches of SAME words
+        start = np.flatnonzero(new | np.append(True, w.hash[1:] != w.hash[:-1]))
+        length = np.diff(np.append(start, n))
+        start, length = start[length >= SAME], length[length >= SAME]
+        at[(start + length)[start + length < n]] = True
+        many = length // SAME
+        first = np.cumsum(many) - many
+        at[np.repeat(start, many) + SAME * (np.arange(int(many.sum())) - np.repeat(first, many))] = True
+        at |= new
     return np.flatnonzero(at)
 
 
