@@ -117,11 +117,15 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit_softmax(ptr: np.ndarray, slot: np.ndarray, target: np.ndarray, bits: int, kinds: str, steps: int = 80, rate: float = 0.3, decay: float = 2e-6) -> Model:
-    """Multinomial logistic regression on soft targets (rows of probabilities), by Adam on the whole sample."""
+def fit_softmax(ptr: np.ndarray, slot: np.ndarray, target: np.ndarray, bits: int, kinds: str, steps: int = 80, rate: float = 0.3, decay: float = 2e-6, value: np.ndarray | None = None) -> Model:
+    """Multinomial logistic regression on soft targets (rows of probabilities), by Adam on the whole sample.
+
+    value: of each indicator; by default 1 / sqrt(number of the row's indicators).
+    """
     n, k = target.shape
     row = np.repeat(np.arange(n), np.diff(ptr))
-    value = (1 / np.sqrt(np.maximum(np.diff(ptr), 1)))[row]
+    if value is None:
+        value = (1 / np.sqrt(np.maximum(np.diff(ptr), 1)))[row]
     used, slot = np.unique(slot, return_inverse=True)
     prior = np.log(np.maximum(target.mean(axis=0), 1e-6)) if n else np.zeros(k)
     w = np.zeros((len(used) + 1, k))
