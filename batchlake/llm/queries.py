@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, nbsvm, packing, quality, simhash, substring
+from . import chat, licenses, nbsvm, packing, quality, simhash, substring, toxicity
 from .durable import parquet
 
 
@@ -18,6 +18,10 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(parquet(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels"))
+
+
 def op6_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.perspectives(parquet(spark, sf_dir, "conversations"))
 
@@ -44,7 +48,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_harmonic_packing, op6_chat_perspectives, op7_quality_ledger, op7_quality_ablation, op8_nbsvm_quality, op9_substring_repeats, op10_simhash)
+    for f in (op1_license_scan, op2_harmonic_packing, op3_toxicity, op6_chat_perspectives, op7_quality_ledger, op7_quality_ablation, op8_nbsvm_quality, op9_substring_repeats, op10_simhash)
 }
 
 ORACLE_SQL: dict[str, str] = {

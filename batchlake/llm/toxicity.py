@@ -29,7 +29,7 @@ from .durable import durable
 KINDS = "up"
 LEXICONS: dict[str, str] = {
     "insult": "idiot idiots moron morons loser losers clown clowns imbecile dumbass jackass bastard bitch asshole fool dummy idiota imbécil estúpido estúpida idiote imbécile crétin connard salaud arschloch trottel dummkopf vollidiot",
-    "contempt": "pathetic stupid disgusting worthless dumb ridiculous useless repulsive vile filthy despicable dégoûtant minable ekelhaft erbärmlich wertlos asqueroso patético inútil",
+    "contempt": "pathetic stupid disgusting worthless dumb ridiculous useless repulsive filthy despicable dégoûtant minable ekelhaft erbärmlich wertlos asqueroso patético inútil",
     "slur_on_worth": "scum trash garbage vermin filth parasite pig pigs rat rats subhuman abschaum müll ordure racaille basura escoria",
     "threat": "kill die hate destroy murder hurt töten hassen tuer haïr matar odiar",
 }
@@ -127,11 +127,13 @@ class Voters:
         return np.flatnonzero((upper + lower >= 40) & (upper > 0.8 * (upper + lower)) & (count(bang) > 0))
 
 
-def label_model(patterns: np.ndarray, counts: np.ndarray, voters: int, start: np.ndarray | None = None, rounds: int = 80) -> dict:
+def label_model(patterns: np.ndarray, counts: np.ndarray, voters: int, start: np.ndarray | None = None, labelled: np.ndarray | None = None, rounds: int = 80) -> dict:
     """The generative model of vote patterns, by EM.
 
     patterns: distinct bitmasks; counts: how many documents have each; start: first
-    guess of each pattern's posterior. In class c voter j hits with probability
+    guess of each pattern's posterior; labelled: (2, patterns) counts of labelled documents by
+    class, which weigh as much as all documents together (else chance meetings of
+    weak voters could make a class of their own). In class c voter j hits with probability
     rate[c, j]; that all are silent is a vote of its own. A hit tells
     log(rate[1, j] / rate[0, j]), divided by 1 + the correlations, within a class, of j
     with the other voters that hit too, as correlated voters repeat each other. Rates
@@ -142,15 +144,18 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, voters: int, start: np
     full = np.column_stack([m, m.sum(1) == 0])
     n = counts.astype(float)
     post = np.where(m[:, : len(LEXICONS)].any(1), 0.9, np.where(m.any(1), 0.3, 0.01)) if start is None else start
+    known = np.zeros((2, len(n))) if labelled is None else labelled.astype(float)
+    n *= max(known.sum(), 1.0) / n.sum() if known.sum() else 1.0
     prior, rate, corr = 0.1, np.zeros((2, voters + 1)), np.zeros((voters, voters))
     for _ in range(rounds):
-        prior = float(np.clip((n * post).sum() / n.sum(), 1e-4, 0.5))
+        prior = float(np.clip(((n * post).sum() + known[1].sum()) / (n.sum() + known.sum()), 1e-4, 0.5))
         corr = np.zeros((voters, voters))
         for c, p in enumerate((1 - post, post)):
-            mass = (n * p).sum()
-            rate[c] = ((n * p) @ full + 0.01) / (mass + 0.02)
+            p = n * p + known[c]
+            mass = p.sum()
+            rate[c] = (p @ full + 0.01) / (mass + 0.02)
             d = m - rate[c][:voters]
-            cov = (d * (n * p)[:, None]).T @ d / max(mass, 1.0)
+            cov = (d * p[:, None]).T @ d / max(mass, 1.0)
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-6))
             corr = np.maximum(corr, cov / np.outer(sd, sd))
         corr = np.where(corr > 0.05, np.minimum(corr, 1.0), 0.0) * (1 - np.eye(voters))
@@ -253,7 +258,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = linear.FI
     patterns, counts = got.column("votes").to_numpy(), got.column("n").to_numpy()
     order = np.argsort(patterns)
     patterns, counts = patterns[order], counts[order]
-    model = label_model(patterns, counts, len(VOTERS), first_guess(patterns, seen, truth)) if len(patterns) else {"posterior": np.zeros(0)}
+    known = np.stack([np.bincount(np.searchsorted(patterns, seen[truth == c]), minlength=len(patterns)) for c in (0, 1)])
+    model = label_model(patterns, counts, len(VOTERS), first_guess(patterns, seen, truth), known) if len(patterns) else {"posterior": np.zeros(0)}
     posterior = model["posterior"]
     texts = linear.sample(d, None, fit_rows).column("text")
     votes = _votes(voters, texts)
