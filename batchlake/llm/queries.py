@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, licenses, mixing, nbsvm, packing, quality, simhash, substring, toxicity
+from . import chat, licenses, mixing, nbsvm, neighbours, packing, quality, simhash, substring, toxicity
 from .durable import parquet
 
 
@@ -22,6 +22,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels"))
 
 
+def op4_posting_list_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(parquet(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_rates(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels"))
 
@@ -52,7 +56,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_harmonic_packing, op3_toxicity, op5_mixing_rates, op6_chat_perspectives, op7_quality_ledger, op7_quality_ablation, op8_nbsvm_quality, op9_substring_repeats, op10_simhash)
+    for f in (op1_license_scan, op2_harmonic_packing, op3_toxicity, op4_posting_list_neighbours, op5_mixing_rates, op6_chat_perspectives, op7_quality_ledger, op7_quality_ablation, op8_nbsvm_quality, op9_substring_repeats, op10_simhash)
 }
 
 ORACLE_SQL: dict[str, str] = {
