@@ -257,17 +257,22 @@ def _similar(threshold: float):
             o = np.argsort(v, kind="stable")
             v, member = v[o], member[o]
             start, count = tw.runs(v)
+            # shared shingles of all pairs: products of the incidence matrix, of which only shared columns matter
+            shared = np.flatnonzero(count > 1)
+            column = np.full(len(count), -1)
+            column[shared] = np.arange(len(shared))
+            column = np.repeat(column, count)
+            member, column = member[column >= 0], column[column >= 0]
             i_all, j_all = [], []
-            # co-occurrence counts, some rows of the pair matrix at a time
+            width = max(1, (1 << 22) // m)
             step = max(1, (1 << 22) // m)
-            shared = count > 1
             for lo in range(0, m, step):
-                both = np.zeros((min(step, m - lo), m), np.int32)
-                for x, c in zip(start[shared].tolist(), count[shared].tolist()):
-                    who = member[x : x + c]
-                    mine = who[(who >= lo) & (who < lo + step)] - lo
-                    if len(mine):
-                        both[np.ix_(mine, who)] += 1
+                both = np.zeros((min(step, m - lo), m), np.float32)
+                for at_column in range(0, len(shared), width):
+                    part = slice(*np.searchsorted(column, (at_column, at_column + width)))
+                    a_part = np.zeros((m, min(width, len(shared) - at_column)), np.float32)
+                    a_part[member[part], column[part] - at_column] = 1
+                    both += a_part[lo : lo + step] @ a_part.T
                 union = size[lo : lo + step][:, None] + size[None, :] - both
                 i, j = np.nonzero(both >= threshold * union)
                 i_all.append(i + lo)
@@ -301,8 +306,10 @@ def repeats(docs: DataFrame, jaccard: float = JACCARD, recall: float = RECALL, m
     differ = met.filter("kind = 2")
     need = differ.groupBy("doc_id", F.shiftright("pos", 48).alias("salt")).agg(F.collect_list(F.struct("key", "content")).alias("need"))
     need = durable(need.withColumnsRenamed({"doc_id": "__id", "salt": "__salt"}))
-    few = need.count() <= BROADCAST_ROWS
-    joined = known.join(F.broadcast(need) if few else need, (F.col("doc_id") == F.col("__id")) & (F.expr("shiftright(shiftleft(tk, 48), 48)") == F.col("__salt"))).select("text", "need")
+    if need.count() <= BROADCAST_ROWS:  # then only documents that are needed are shuffled to the list of what they need
+        ids = need.select(F.col("__id").alias("doc_id"), F.col("__salt").alias("salt"))
+        known = known.withColumn("salt", F.expr("shiftright(shiftleft(tk, 48), 48)")).join(F.broadcast(ids), ["doc_id", "salt"], "left_semi")
+    joined = known.join(need, (F.col("doc_id") == F.col("__id")) & (F.expr("shiftright(shiftleft(tk, 48), 48)") == F.col("__salt"))).select("text", "need")
     edges = joined.mapInArrow(_shingles(min_paragraph), "key long, content long, set binary").repartition("key").mapInArrow(_similar(jaccard), "a long, b long")
     comp = components(edges)
     member = met.filter("kind <> 1").select("content", "doc_id", "pos", "span").distinct()
