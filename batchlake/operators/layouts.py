@@ -98,7 +98,7 @@ def pack_columns(sequences: DataFrame, columns: int, chunk: int, steps: int | No
         choose = iter(lambda: rng.randint(1, len(slots)), 0)
     runs, after = plan_pack(slots, columns, chunk, steps, state, choose)
     frame = pd.DataFrame(runs, columns=["lane", "t", "n", "seq", "offset", "is_mask"])
-    plan = spark.createDataFrame(frame, "column long, t long, n long, seq long, offset long, is_mask boolean")
+    plan = spark.createDataFrame(frame, "lane long, t long, n long, seq long, offset long, is_mask boolean")
     d = plan.join(sequences, "seq", "left").withColumn("j", F.explode(F.expr("sequence(0L, n - 1)")))
     at = (F.col("offset") + F.col("j")).cast("int")
     pick = lambda i: F.get("values", i)
