@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-_MARKS = r"""['"“”‘’«»{}()\[\]*!?;:…]+"""
+_MARKS = r"""['"“”‘’«»{}()\[\]*!?…]+"""
 _WORD_EDGE = r"[\p{L}\p{N}]"
 _TLD = r"(?:com|org|net|edu|gov|info|biz|mil|int|name|mobi|tv|io|co|us|uk|de|fr|es|it|nl|jp|cn|ru|br|in|au|ca|ly|me)"
 
@@ -29,7 +29,7 @@ PROTECTED: dict[str, str] = {
     "short": r"\b(?:\p{L}\.){2,}|\b(?:Mr|Mrs|Ms|Dr|Sr|Jr|Rep|Sen|St|vs|etc)\.(?=\s|$)",
     "rule": r"--+|―|—|~|=+",
     "ornament": r"[♫♪★☆♥❤♡]+",
-    "inner_quote": r"[\p{L}\p{N}]+['’′][\p{L}\p{N}]+",
+    "inner_quote": r"[\p{L}\p{N}][\p{L}\p{N}-]*['’′][\p{L}\p{N}]+",
     "tag": r"#[\p{L}\p{N}_]+",
     "mention": r"[@＠][\p{L}\p{N}_]+",
 }

@@ -35,9 +35,8 @@ def next_cursor(start: int, epoch: int, size: int, wrap: str = "base", batch: in
         return (start - 1 + epoch) % size + 1
     first, later = early_laps(start, batch, size)
     done = first - start + 1
-    if epoch < done:
-        return start + epoch
-    return (epoch - done) % later + 1
+    after = start + epoch if epoch < done else (epoch - done) % later + 1
+    return after if after < size else 1
 
 
 def early_laps(start: int, batch: int, size: int) -> tuple[int, int]:
