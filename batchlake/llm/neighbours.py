@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .durable import durable
 
-K, LISTS_PER_ROOT, SPREAD, REPLICAS, PRUNE, SHARE, LEAST_PROBES, ROUNDS = 10, 2.0, 1.1, 4, 1.25, 0.25, 32, 6
+K, LISTS_PER_ROOT, SPREAD, REPLICAS, PRUNE, SHARE, LEAST_PROBES, ALWAYS, ROUNDS = 10, 2.0, 1.1, 4, 1.25, 0.25, 32, 16, 6
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -197,6 +197,7 @@ def _rows(graph: Graph, spread: float, replicas: int, prune: float, probes: int)
                 ids, d = graph.search(x, max(probes, replicas))
                 posting = within(d[:, :replicas], spread)
                 probe = within(d[:, :probes], prune)
+                probe[:, :ALWAYS] = True  # a query that lies on a centroid would else see one list
                 for side, mask in ((0, posting), (1, probe)):
                     r, k = np.nonzero(mask)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[r, k].astype(np.int64)), pa.array(np.full(len(r), side, np.int32)), pa.array(vec[r]), _binary(x[r])], ["list", "side", "vec_id", "v"])
