@@ -103,11 +103,11 @@ def sample(docs: DataFrame, labels: DataFrame | None, rows: int, seed: int = 7)
 
 def matrix(texts: pa.ChunkedArray, bits: int, kinds: str) -> tuple[np.ndarray, np.ndarray]:
     """Rows of indicators as (row pointers, slots)."""
-    docs, slots, base = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    docs, slots, base = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
     for _, part in tw.slices(texts):
         d, s = features(tokens(part, kinds), bits, kinds)
-        docs.append(d + base)
-        slots.append(s)
+        docs.append((d + base).astype(np.int32))
+        slots.append(s.astype(np.int32))
         base += len(part)
     return np.searchsorted(np.concatenate(docs), np.arange(base + 1)), np.concatenate(slots)
 
@@ -123,19 +123,33 @@ def fit_softmax(ptr: np.ndarray, slot: np.ndarray, target: np.ndarray, bits: int
     value: of each indicator; by default 1 / sqrt(number of the row's indicators).
     """
     n, k = target.shape
-    row = np.repeat(np.arange(n), np.diff(ptr))
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(ptr))
     if value is None:
         value = (1 / np.sqrt(np.maximum(np.diff(ptr), 1)))[row]
-    used, slot = np.unique(slot, return_inverse=True)
+    value = value.astype(np.float32)
+    used = np.unique(slot)
+    slot = np.searchsorted(used, slot)
+    # sums by row and by slot go over sorted runs
+    full = np.flatnonzero(np.diff(ptr))
+    by_row = ptr[:-1][full]
+    order = np.argsort(slot, kind="stable")
+    by_slot = np.cumsum(np.append(0, np.bincount(slot, minlength=len(used))))[:-1]
+    row_of, value_of = row[order].astype(np.int64), value[order]
+    del order, row
     prior = np.log(np.maximum(target.mean(axis=0), 1e-6)) if n else np.zeros(k)
-    w = np.zeros((len(used) + 1, k))
+    w = np.zeros((k, len(used) + 1), np.float32)  # a class a row, so that all passes are over contiguous numbers
     m, v = np.zeros_like(w), np.zeros_like(w)
-    for t in range(1, steps + 1 if n else 1):
-        z = sums(n, row, w[slot] * value[:, None]) + w[-1] + prior
-        e = (softmax(z) - target) / n
-        g = np.vstack([sums(len(used), slot, e[row] * value[:, None]), e.sum(axis=0)]) + decay * w
+    for t in range(1, steps + 1 if len(slot) else 1):
+        z = np.tile(w[:, -1] + prior, (n, 1))
+        for c in range(k):
+            z[full, c] += np.add.reduceat(w[c][slot] * value, by_row)
+        e = ((softmax(z) - target) / n).astype(np.float32).T.copy()
+        g = decay * w
+        for c in range(k):
+            g[c, :-1] += np.add.reduceat(e[c][row_of] * value_of, by_slot)
+        g[:, -1] += e.sum(axis=1)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-5)
     weight = np.zeros((1 << bits, k))
-    weight[used] = w[:-1]
-    return Model(weight, w[-1] + prior, kinds)
+    weight[used] = w[:, :-1].T
+    return Model(weight, w[:, -1] + prior, kinds)

@@ -59,6 +59,7 @@ def fit(texts: pa.ChunkedArray, y: np.ndarray, bits: int = linear.BITS, c: float
     if len(y) == 0 or len(set(y)) == 1:
         return linear.Model(np.zeros((size, 1)), np.array([y[0] if len(y) else 1.0]), KINDS)
     ptr, slot = linear.matrix(texts, bits, KINDS)
+    slot = slot.astype(np.int64)  # rows are picked by it again and again
     r = log_count_ratio(ptr, slot, y, size)
     scale = 1 / np.sqrt(np.maximum(np.diff(ptr), 1))
     value = r[slot] * np.repeat(scale, np.diff(ptr))

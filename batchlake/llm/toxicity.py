@@ -210,11 +210,11 @@ def build_voters(docs: DataFrame, labels: DataFrame, fit_rows: int) -> tuple[Vot
 
 def _with_votes(ptr: np.ndarray, slot: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of indicators with the votes added, as slots from 2**BITS on."""
-    row = np.repeat(np.arange(len(votes)), np.diff(ptr))
+    row = np.repeat(np.arange(len(votes), dtype=np.int32), np.diff(ptr))
     bits = ((votes[:, None] >> np.arange(len(VOTERS))) & 1).astype(bool)
     r, k = np.nonzero(bits)
-    row, slot = np.append(row, r), np.append(slot, (1 << BITS) + k)
-    o = np.argsort(row, kind="stable")
+    row, slot = np.append(row, r).astype(np.int32), np.append(slot, (1 << BITS) + k).astype(np.int32)
+    o = np.argsort(row, kind="stable").astype(np.int32)
     return np.searchsorted(row[o], np.arange(len(votes) + 1)), slot[o]
 
 
