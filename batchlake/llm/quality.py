@@ -103,7 +103,9 @@ def keep_good(docs: DataFrame, policy: str = "v2") -> DataFrame:
     """The rows of docs that the policy accepts, with the columns of docs."""
     names = docs.columns
     tagged = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), F.col("text"))
-    d = _measured(tagged, "__row").filter(F.expr(f"({_bits_sql()}) & {mask(policy)} = 0"))
+    # the filter stays above a projection that is not deterministic; pushed down, it would split the text anew for every rule
+    d = _measured(tagged, "__row").select("__row", F.expr(_bits_sql()).alias("__bits"), F.monotonically_increasing_id().alias("__stay"))
+    d = d.filter(F.expr(f"__bits & {mask(policy)} = 0 and __stay >= 0"))
     return d.select(*(F.col("__row").getField(c).alias(c) for c in names))
 
 
