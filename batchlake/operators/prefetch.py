@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Callable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
+from itertools import islice
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -49,7 +50,7 @@ class Prefetch:
             raise RuntimeError(f"the {self._mode} iterator is active; synchronize() ends it")
         self._mode = mode
         todo = iter(numbers)
-        for n, _ in zip(todo, range(self._ahead)):
+        for n in islice(todo, self._ahead):
             self.put(lambda n=n: plan(n).collect())
         while self._flight:
             rows = self.get()
