@@ -3,13 +3,14 @@
 A classifier trained on the labelled table gives each document a posterior over
 domains. A document of n tokens and posterior p, taken at rate x, adds n x p to
 the expected token totals. The rates minimise the squared distance of these
-totals to their targets over x >= 0 by projected gradient descent from x = 1, in
-the metric in which a document weighs by its tokens. In that metric the gradient
-of a document is the inner product of its posterior with the totals' residual, so
-each worker replays all steps so far from the list of residuals; a step is one
-aggregation whose result has one number a domain, and no state is kept anywhere
-but in that list. The step is 1 / the largest eigenvalue of the domains' Gram
-matrix; momentum (restarted when it overshoots) keeps the number of steps low.
+totals to their targets over x >= 0, and of the rates that do, those nearest to 1
+are taken, in the metric in which a document weighs by its tokens. They are
+max(1 - p . price, 0) with one price a domain, so the problem has as many unknowns
+as there are domains: Newton steps on the prices, each one aggregation that tries
+some step lengths at once, with a weight on the distance from 1 that is lowered
+until the totals are right. They are when each domain's total is within
+`tolerance` of its target, or, where targets are out of reach, when a dual bound
+shows it to be that near to its total at the optimum; otherwise solve() raises.
 
 Cases: a null or empty text has no tokens and rate 1; without labels there is one
 domain, `clean`; domains without a label get no mass, and a target for them is
@@ -33,6 +34,7 @@ DOMAINS = ("clean", "low", "toxic")
 TARGETS = {"clean": 1.25, "low": 0.25, "toxic": 0.1}
 KINDS = "Rub"
 STEPS, TOLERANCE = 40, 1e-3
+LENGTHS = (1, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001)
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -66,69 +68,83 @@ def _posteriors(model: linear.Model, keep: list[str]):
     return run
 
 
-def replay(p: np.ndarray, moves: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray]:
-    """Rates of documents with posteriors p after the steps taken so far (a residual and a momentum each), and their extrapolation."""
-    x = y = np.ones(len(p))
-    for residual, momentum in moves:
-        new = np.maximum(y - p @ residual, 0)
-        y = new + momentum * (new - x)
-        x = new
-    return x, y
+def replay(p: np.ndarray, prices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rates of documents with posteriors p at the domains' prices, and what each document is priced at."""
+    worth = p @ prices
+    return np.maximum(1 - worth, 0), worth
 
 
-def _totals(moves: list[tuple[np.ndarray, float]]):
-    """Per partition: token totals at the replayed point, at its extrapolation, and counts for the Gram matrix."""
+def _totals(tried: list[np.ndarray]):
+    """Per partition and vector of prices: token totals, Gram matrix of the documents not at rate 0, sum of n x^2; and the least worth (`low`)."""
     k = len(DOMAINS)
+    size = k + k * k + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(2 * k + k * k)
+        out, low = np.zeros((len(tried), size)), np.full((len(tried), size), np.inf)
         for b in batches:
+            if not b.num_rows:
+                continue
             n = b.column("n_tokens").to_numpy().astype(float)
             p = np.column_stack([b.column(f"p_{d}").to_numpy() for d in DOMAINS])
-            x, y = replay(p, moves)
-            out[:k] += (n * x) @ p
-            out[k : 2 * k] += (n * y) @ p
-            out[2 * k :] += ((p * n[:, None]).T @ p).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out))), pa.array(out)], ["k", "v"])
+            for i, prices in enumerate(tried):
+                x, worth = replay(p, prices)
+                out[i, :k] += (n * x) @ p
+                out[i, k:-1] += ((p * (n * (x > 0))[:, None]).T @ p).ravel()
+                out[i, -1] += n @ (x * x)
+                low[i] = np.minimum(low[i], worth.min())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size)), pa.array(out.ravel()), pa.array(low.ravel())], ["k", "v", "low"])
 
     return run
 
 
-def solve(table: DataFrame, targets: dict[str, float], steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[list[tuple[np.ndarray, float]], np.ndarray, np.ndarray]:
-    """(moves, totals, wanted) for table (n_tokens, p_*): projected accelerated gradient, one aggregation a step."""
+def solve(table: DataFrame, targets: dict[str, float], steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prices, totals, wanted) for table (n_tokens, p_*); raises if `steps` steps don't settle each domain."""
     k = len(DOMAINS)
-    moves: list[tuple[np.ndarray, float]] = []
-    wanted, step, t, best = np.zeros(k), 0.0, 1.0, np.inf
-
-    def totals() -> np.ndarray:
-        got = dict(table.mapInArrow(_totals(moves), "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect())
-        return np.array([got.get(i, 0.0) for i in range(2 * k + k * k)])
-
-    got = totals()
-    wanted = got[:k] * np.array([targets[d] for d in DOMAINS])
-    top = float(np.linalg.eigvalsh(got[2 * k :].reshape(k, k)).max()) if got.any() else 0.0
+    size = k + k * k + 1
+
+    def totals(tried: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float, float]]:
+        rows = table.mapInArrow(_totals(tried), "k long, v double, low double").groupBy("k").agg(F.sum("v").alias("v"), F.min("low").alias("low")).collect()
+        got = np.zeros((len(tried) * size, 2))
+        for r in rows:
+            got[r.k] = r.v, r.low
+        return [(g[:k, 0], g[k:-1, 0].reshape(k, k), g[-1, 0], g[0, 1]) for g in got.reshape(len(tried), size, 2)]
+
+    prices = np.zeros(k)
+    total, gram, _, low = totals([prices])[0]
+    wanted = total * np.array([targets[d] for d in DOMAINS])
+    near = tolerance * np.maximum(np.where(wanted > 0, wanted, total), 1.0)
+    top = float(np.linalg.eigvalsh(gram).max())
     if top <= 0:
-        return moves, got[:k], wanted
-    step = 1 / top
-    for _ in range(steps):
-        miss = float(np.linalg.norm(got[:k] - wanted) / max(np.linalg.norm(wanted), 1.0))
-        if miss < tolerance:
+        return prices, total, wanted
+    weight = 1e-4 * top  # of the rates' distance from 1
+    for step in range(steps + 1):
+        miss = total - wanted
+        # of the distance to the targets: any u with p . u >= 0 for all documents bounds it from below
+        u = weight * prices + max(0.0, -weight * low)
+        if u @ u > 0:
+            u *= max(0.0, -(u @ wanted) / (u @ u))
+        gap = max(0.0, miss @ miss / 2 + u @ u / 2 + u @ wanted)
+        if (np.abs(miss) <= near).all() or np.sqrt(2 * gap) <= near.min():
+            return prices, total, wanted
+        if step == steps:
             break
-        if miss > best:
-            t = 1.0
-        best = miss
-        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        moves.append((step * (got[k : 2 * k] - wanted), (t - 1) / after))
-        t = after
-        got = totals()
-    return moves, got[:k], wanted
-
-
-def _rated(moves: list[tuple[np.ndarray, float]], keep: list[str]):
+        slope = weight * prices - miss
+        if np.linalg.norm(slope) <= 0.1 * np.linalg.norm(weight * prices) or np.abs(slope).max() < 0.1 * near.min():
+            weight *= 0.1
+            slope = weight * prices - miss
+        move = np.linalg.solve(gram + weight * np.eye(k), slope)
+        tried = [prices - length * move for length in LENGTHS]
+        got = totals(tried)
+        best = int(np.argmin([weight / 2 * t @ t + g[2] / 2 + wanted @ t for t, g in zip(tried, got)]))
+        prices, (total, gram, _, low) = tried[best], got[best]
+    raise RuntimeError(f"the mixing rates did not converge in {steps} steps: totals {total.tolist()}, wanted {wanted.tolist()}, within {near.tolist()}; the distance to the targets may exceed the least one by {np.sqrt(2 * gap)} tokens")
+
+
+def _rated(prices: np.ndarray, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = np.column_stack([b.column(f"p_{d}").to_numpy() for d in DOMAINS])
-            rate = np.where(b.column("n_tokens").to_numpy() > 0, replay(p, moves)[0], 1.0)
+            rate = np.where(b.column("n_tokens").to_numpy() > 0, replay(p, prices)[0], 1.0)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), b.column("n_tokens"), *(b.column(f"p_{d}") for d in DOMAINS), pa.array(rate)], [*keep, "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate"])
 
     return run
@@ -141,8 +157,8 @@ def _rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], fit_ro
     posts = ", ".join(f"p_{d} double" for d in DOMAINS)
     d = docs.select("doc_id", "text", F.xxhash64("text").alias("tk"))
     table = durable(d.mapInArrow(_posteriors(model, ["doc_id", "tk"]), f"doc_id {kind}, tk long, n_tokens long, {posts}"))
-    moves, _, _ = solve(table.filter("n_tokens > 0").drop("doc_id", "tk"), targets)
-    return table.mapInArrow(_rated(moves, ["doc_id", "tk"]), f"doc_id {kind}, tk long, n_tokens long, {posts}, rate double")
+    prices, _, _ = solve(table.filter("n_tokens > 0").drop("doc_id", "tk"), targets)
+    return table.mapInArrow(_rated(prices, ["doc_id", "tk"]), f"doc_id {kind}, tk long, n_tokens long, {posts}, rate double")
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, fit_rows: int = linear.FIT_ROWS) -> DataFrame:
@@ -155,18 +171,18 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
 
     The draw is a hash of (doc_id, text), so it is the same on every run. The
     texts are not shuffled: posteriors are computed where the rows are, and rates
-    follow from the list of residuals.
+    follow from the prices.
     """
     model = domain_model(docs, labels, fit_rows)
     posts = ", ".join(f"p_{d} double" for d in DOMAINS)
     table = durable(docs.select("text").mapInArrow(_posteriors(model, []), f"n_tokens long, {posts}"))
-    moves, _, _ = solve(table.filter("n_tokens > 0"), targets)
+    prices, _, _ = solve(table.filter("n_tokens > 0"), targets)
     names = docs.columns
     row = F.struct(*(F.col(f"`{c}`") for c in names))
     tagged = docs.select(row.alias("__row"), F.expr("pmod(xxhash64(doc_id, text, 11), 1000003) / 1000003.0D").alias("draw"))
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rated, post = _rated(moves, ["__row", "draw"]), _posteriors(model, ["__row", "draw"])
+        rated, post = _rated(prices, ["__row", "draw"]), _posteriors(model, ["__row", "draw"])
         for b in rated(post(batches)):
             rate = b.column("rate").to_numpy()
             n = np.floor(rate).astype(np.int64) + (b.column("draw").to_numpy() < rate % 1)

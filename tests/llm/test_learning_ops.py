@@ -122,6 +122,38 @@ def test_rates_meet_targets_and_equal_brute_force(spark):
     assert np.linalg.norm(totals - wanted) < 1.02 * best + 1
 
 
+@pytest.mark.parametrize("share", [(0.8, 0.12, 0.08), (0.85, 0.14, 0.01), (0.9, 0.099, 0.001)])
+def test_production_defaults_meet_the_target_of_each_domain(spark, share):
+    rng = np.random.default_rng(0)
+    y = rng.choice(3, 20_000, p=share)
+    n = rng.integers(50, 800, 20_000)
+    p = np.stack([rng.dirichlet(0.9 * np.array(share) + 8 * np.eye(3)[c]) for c in y])
+    frame = pa.table({"n_tokens": n, **{f"p_{d}": p[:, k] for k, d in enumerate(mixing.DOMAINS)}})
+    prices, totals, wanted = mixing.solve(spark.createDataFrame(frame), mixing.TARGETS)
+    x, _ = mixing.replay(p, prices)
+    assert np.allclose((n * x) @ p, totals)
+    assert (np.abs(totals - wanted) <= mixing.TOLERANCE * wanted).all()
+
+
+def test_production_defaults_out_of_reach(spark):
+    rng = np.random.default_rng(2)
+    n = rng.integers(1, 400, 500)
+    p = rng.dirichlet([2, 0.5, 0.5], 500)
+    table = spark.createDataFrame(pa.table({"n_tokens": n, **{f"p_{d}": p[:, k] for k, d in enumerate(mixing.DOMAINS)}}))
+    _, totals, wanted = mixing.solve(table, {"clean": 1.0, "low": 0.0, "toxic": 0.0})
+    # brute force: out of reach, the optimum is a mixture of two documents
+    i, j = np.triu_indices(500, 1)
+    aa, ab, bb, aw, bw = (p[i] ** 2).sum(1), (p[i] * p[j]).sum(1), (p[j] ** 2).sum(1), p[i] @ wanted, p[j] @ wanted
+    det = aa * bb - ab * ab
+    mixed = np.maximum((bb * aw - ab * bw) / det, 0)[:, None] * p[i] + np.maximum((aa * bw - ab * aw) / det, 0)[:, None] * p[j]
+    alone = (p @ wanted / (p * p).sum(1))[:, None] * p
+    both = np.concatenate([mixed, alone])
+    best = both[np.argmin(((both - wanted) ** 2).sum(1))]
+    assert np.abs(totals - best).max() <= mixing.TOLERANCE * wanted[0]
+    with pytest.raises(RuntimeError, match="did not converge"):
+        mixing.solve(table, mixing.TARGETS, steps=1)
+
+
 def test_mixing_of_documents(world, odd):
     _, labels, kinds = world
     rates = {r.doc_id: r for r in mixing.mixing_rates(odd, labels).collect()}
