@@ -6,6 +6,10 @@ identifier. Rules, tried in their order, name a licence for a run of identifiers
 a run that a rule has used is not used again, so a rule for a longer run goes
 before those for its parts.
 
+A known sentence is found over line ends of any kind, be the next line's first
+letter a capital, a bracket or behind a blank line. SCAN_SQL, which is kept as it
+was, joins only lines that go on in lower case and doesn't know joint clauses.
+
 Only documents with a cue can hold a known sentence, as every known sentence
 has one (checked when this module is loaded); the others are settled by a plain
 substring search.
@@ -101,6 +105,13 @@ _KNOWN = {normalise(re.split(END, s)[0]): name for name, s in SENTENCES.items()}
 assert len(_KNOWN) == len(SENTENCES)
 assert all(any(c in s for c in CUES) for s in _KNOWN)
 
+#: Clauses that published headers join into one sentence: the sentence -> its identifiers.
+JOINT = {normalise(SENTENCES["Apache2the"] + "; " + SENTENCES["Apache2not"]): ("Apache2the", "Apache2not")}
+_MARKS = _KNOWN | {s: "><".join(names) for s, names in JOINT.items()}
+#: Ends of sentences and of lines in a normalised text; pieces are known sentences, over any line ends, or what is between ends.
+STOP, LINE = "\x01", "\x02"
+PIECE = "(?:" + "|".join(s.replace(" ", f"[ {LINE}]+") for s in sorted(_MARKS, key=len, reverse=True)) + f")(?![^{STOP}{LINE}])|[^{STOP}{LINE}]+"
+
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, status, licenses, sentences): matched | unknown | none; names joined by `,`, identifiers as `<a><b>`."""
@@ -110,10 +121,13 @@ def scan(docs: DataFrame) -> DataFrame:
     for c in CUES:
         cue = cue | F.contains(low, F.lit(c))
     d = d.withColumn("__t", F.when(cue, F.col("__t")).otherwise(F.lit("")))
-    parts = F.split(F.regexp_replace("__t", WRAP, "$1 $2"), END)
-    norm = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    d = d.select("doc_id", norm.alias("__s"))
-    known = F.create_map(*(F.lit(x) for kv in _KNOWN.items() for x in kv))
+    text = F.lower(F.regexp_replace(F.translate("__t", STOP + LINE, "  "), WRAP, "$1 $2"))
+    hard, soft = END.split("|")
+    text = F.regexp_replace(F.regexp_replace(text, hard, STOP), soft, LINE)
+    text = F.regexp_replace(F.regexp_replace(text, f"[^a-z0-9{STOP}{LINE}]+", " "), f" ?([{STOP}{LINE}]) ?", "$1")
+    pieces = F.regexp_extract_all(F.trim(text), F.lit(PIECE), F.lit(0))
+    d = d.select("doc_id", F.transform(pieces, lambda s: F.trim(F.regexp_replace(s, f"{LINE}+", " "))).alias("__s"))
+    known = F.create_map(*(F.lit(x) for kv in _MARKS.items() for x in kv))
     has_cue = lambda s: F.exists(F.array(*(F.lit(c) for c in CUES)), lambda c: F.contains(s, c))
     marks = F.filter(F.transform("__s", lambda s: F.coalesce(F.element_at(known, s), F.when(has_cue(s), F.lit("?")))), lambda x: x.isNotNull())
     d = d.select("doc_id", F.concat(F.lit(""), F.array_join(F.transform(marks, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")).alias("__seq"))

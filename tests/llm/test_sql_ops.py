@@ -40,6 +40,81 @@ def test_licences_found(edge):
     assert got[9].status == "unknown" and got[2].status == "none" and got[None].licenses == "all-rights-reserved"
 
 
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+LGPL = """ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+"""
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+HEADERS = [
+    (GPL, "GPL-3.0-or-later", "<GPLfree3><GPLhope><GPLsee>"), (APACHE, "Apache-2.0", "<Apache2the><Apache2not><Apache2copy><Apache2asis><Apache2see>"), (LGPL, "LGPL-2.1-or-later", "<LGPLfree>"),
+    (MIT, "MIT", "<MITperm><MITnotice><AsIsMIT>"), (BSD, "BSD-3-Clause", "<BSDuse><BSDsource><BSDbinary><BSDnames>"),
+]
+
+
+def test_headers_as_published(spark):
+    rows = [(k, t) for k, (t, _, _) in enumerate(HEADERS)] + [(10 + k, " ".join(t.split())) for k, (t, _, _) in enumerate(HEADERS[:3])]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (_, name, run) in enumerate(HEADERS):
+        assert got[k].licenses == name and run in got[k].sentences
+        if k < 3:
+            assert got[10 + k].licenses == name
+
+
 def test_rules_and_policies(edge):
     got = {r.doc_id: r for r in quality.ledger(edge[0]).collect()}
     bit = {n: 1 << b for n, b in quality.BIT.items()}
