@@ -11,8 +11,8 @@ letter a capital, a bracket or behind a blank line. SCAN_SQL, which is kept as i
 was, joins only lines that go on in lower case and doesn't know joint clauses.
 
 Only documents with a cue can hold a known sentence, as every known sentence
-has one (checked when this module is loaded); the others are settled by a plain
-substring search.
+has one (checked when this module is loaded); the others are settled by a
+search, in which anything but letters and digits may be between a cue's words.
 
 Cases: a null or empty text has status `none`; sentences with a cue that nobody
 knows make `unknown` if no rule matches; repeated rows and null doc_ids have
@@ -119,7 +119,8 @@ def scan(docs: DataFrame) -> DataFrame:
     low = F.lower("__t")
     cue = F.lit(False)
     for c in CUES:
-        cue = cue | F.contains(low, F.lit(c))
+        # the pattern is tried only where the cue's last word is
+        cue = cue | (F.contains(low, F.lit(c)) if " " not in c else F.contains(low, F.lit(c.split()[-1])) & F.rlike(low, F.lit(c.replace(" ", "[^a-z0-9]+"))))
     d = d.withColumn("__t", F.when(cue, F.col("__t")).otherwise(F.lit("")))
     text = F.lower(F.regexp_replace(F.translate("__t", STOP + LINE, "  "), WRAP, "$1 $2"))
     hard, soft = END.split("|")

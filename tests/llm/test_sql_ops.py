@@ -115,6 +115,13 @@ def test_headers_as_published(spark):
             assert got[10 + k].licenses == name
 
 
+def test_wrapped_cues(spark):
+    texts = ["All rights\nreserved.", "This is free and unencumbered software released into the public\ndomain.", "This work is dedicated to the public  domain under CC0 1.0", "some rights-reserved", "plain prose"]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k].licenses for k in range(3)] == ["all-rights-reserved", "Unlicense", "CC0-1.0"]
+    assert got[3].status == "unknown" and got[4].status == "none"
+
+
 def test_rules_and_policies(edge):
     got = {r.doc_id: r for r in quality.ledger(edge[0]).collect()}
     bit = {n: 1 << b for n, b in quality.BIT.items()}
