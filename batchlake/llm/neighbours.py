@@ -94,11 +94,12 @@ class Graph:
             self.links[i] = (row * 2)[: self.links.shape[1]] if len(row) < self.links.shape[1] else row[: self.links.shape[1]]
         self.pivots = np.unique(np.linspace(0, n - 1, min(n, int(np.ceil(4 * np.sqrt(n))))).astype(np.int32))
 
-    def search(self, q: np.ndarray, want: int, hops: int = 12) -> tuple[np.ndarray, np.ndarray]:
-        """(centroids, squared distances), both (len(q), want), nearest first: beam search, all queries of a block in step."""
+    def search(self, q: np.ndarray, want: int) -> tuple[np.ndarray, np.ndarray]:
+        """(centroids, squared distances), both (len(q), want), nearest first: beam search until no node of the beam is left to expand, all queries of a block in step."""
         n = len(self.c)
         want = min(want, n)
         beam = min(n, max(want, 8))
+        step = max(6, beam // 8)  # nodes expanded at once
         ids, ds = np.empty((len(q), want), np.int32), np.empty((len(q), want), np.float32)
         for at in range(0, len(q), 256):
             x = q[at : at + 256]
@@ -112,9 +113,9 @@ class Graph:
             seen = np.zeros((len(x), n + 1), bool)  # the last column takes what is empty
             seen[rows, got] = True
             open_ = got >= 0
-            for _ in range(hops):
+            while True:
                 # the few best nodes that are not expanded yet
-                order = np.argsort(np.where(open_, dist, np.inf), axis=1)[:, :6]
+                order = np.argsort(np.where(open_, dist, np.inf), axis=1)[:, :step]
                 chosen = np.take_along_axis(open_, order, 1)
                 if not chosen.any():
                     break

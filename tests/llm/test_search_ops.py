@@ -221,3 +221,12 @@ def test_neighbours_edge_cases(spark):
     assert got == [(1, 1, 2, 1.0), (1, 2, 3, 1.0), (2, 1, 3, 0.0), (2, 2, 1, 1.0), (3, 1, 2, 0.0), (3, 2, 1, 1.0)]
     assert neighbours.nearest(d.filter("false")).count() == 0
     assert neighbours.nearest(d.filter("vec_id = 1")).count() == 0
+
+
+def test_graph_fills_wide_beams():
+    rng = np.random.default_rng(5)
+    unit = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.normal(size=(n, 64)).astype(np.float32))
+    c, q = unit(4000), unit(64)
+    ids, d = neighbours.Graph(c).search(q, 1000)
+    true = np.argsort(neighbours.squared(q, c), axis=1)[:, :1000]
+    assert np.isfinite(d).all() and np.mean([len(np.intersect1d(a, b)) for a, b in zip(ids, true)]) > 980
