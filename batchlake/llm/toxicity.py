@@ -8,7 +8,7 @@ than chance allows, dealt out to several voters), and patterns (an insult next t
 hit rates in either class, and the correlations of voters within a class - is
 estimated by EM from the counts of all vote patterns of the whole table, without
 labels. A linear classifier on text features and votes is then trained on the
-model's posteriors, and scores every document.
+model's posteriors of the labelled sample, and scores every document.
 
 Cases: without labels only the fixed lexicons and patterns vote; a null text is
 an empty one, without hits; repeated rows and null doc_ids are scored each; an
@@ -199,13 +199,13 @@ def _votes(voters: Voters, texts: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *(voters(part, tw.words(part)) for _, part in tw.slices(texts))])
 
 
-def build_voters(docs: DataFrame, labels: DataFrame, fit_rows: int) -> tuple[Voters, np.ndarray, np.ndarray]:
-    """Voters, with lexicons found in at most `fit_rows` labelled documents; these documents' votes and labels."""
+def build_voters(docs: DataFrame, labels: DataFrame, fit_rows: int) -> tuple[Voters, pa.ChunkedArray, np.ndarray, np.ndarray]:
+    """Voters, with lexicons found in at most `fit_rows` labelled documents; these documents' texts, votes and labels."""
     y = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     got = linear.sample(docs, y, fit_rows)
     truth = (got.column("y").to_numpy() > 0).astype(np.int64)
     voters = Voters(found_lexicon(got.column("text"), truth, "u"), found_lexicon(got.column("text"), truth, "p"))
-    return voters, _votes(voters, got.column("text")), truth
+    return voters, got.column("text"), _votes(voters, got.column("text")), truth
 
 
 def _with_votes(ptr: np.ndarray, slot: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,10 +248,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = linear.FI
 
     votes: bitmask of VOTERS that hit; posterior: the label model's probability;
     score: the classifier's probability; toxic: score > 0.5. `fit_rows` bounds the
-    labelled sample that lexicons are found in, and the classifier's sample.
+    labelled sample that lexicons are found in and the classifier is trained on
+    (without labels, documents taken by the hash of their id).
     """
     d = docs.select("doc_id", "text")
-    voters, seen, truth = build_voters(d, labels, fit_rows)
+    voters, texts, seen, truth = build_voters(d, labels, fit_rows)
     kind = d.schema["doc_id"].dataType.simpleString()
     voted = durable(d.mapInArrow(_vote_pass(voters, ["doc_id"]), f"doc_id {kind}, votes long").groupBy("votes").agg(F.count("*").alias("n")))
     got = voted.toArrow()  # at most 2**len(VOTERS) rows whatever the table's size
@@ -261,9 +262,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = linear.FI
     known = np.stack([np.bincount(np.searchsorted(patterns, seen[truth == c]), minlength=len(patterns)) for c in (0, 1)])
     model = label_model(patterns, counts, len(VOTERS), first_guess(patterns, seen, truth), known) if len(patterns) else {"posterior": np.zeros(0)}
     posterior = model["posterior"]
-    texts = linear.sample(d, None, fit_rows).column("text")
-    votes = _votes(voters, texts)
-    classifier = train(texts, votes, posterior[np.searchsorted(patterns, votes)])
+    if not len(seen):
+        texts = linear.sample(d, None, fit_rows).column("text")
+        seen = _votes(voters, texts)
+    taught = posterior[np.searchsorted(patterns, seen)]
+    classifier = train(texts, seen, taught)
+    if len(seen):
+        # the labelled rows may hold another share of toxic documents than the table
+        logit = lambda x: np.log(x / (1 - x))
+        share = lambda x: np.clip(x, 1e-9, 1 - 1e-9)
+        classifier.text.bias[1] += logit(share(counts @ posterior / counts.sum())) - logit(share(taught.mean()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

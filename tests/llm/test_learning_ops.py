@@ -79,6 +79,15 @@ def test_toxicity_held_out(world, odd):
     assert toxicity.score_toxicity(odd.filter("false"), labels).count() == 0
 
 
+def test_toxicity_of_rare_documents_is_learnt_from_labelled_rows(spark):
+    rng = random.Random(6)
+    kinds = ["toxic"] * 60 + ["clean"] * 3000
+    docs = spark.createDataFrame([(i, document(rng, k)) for i, k in enumerate(kinds)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in [*range(30), *range(60, 110)]], "doc_id long, toxic int")
+    got = {r.doc_id: r.toxic for r in toxicity.score_toxicity(docs, labels, 80).collect()}
+    assert np.mean([got[i] for i in range(30, 60)]) > 0.9 and np.mean([got[i] for i in range(110, 3060)]) < 0.01
+
+
 def test_label_model_recovers_rates():
     rng = np.random.default_rng(3)
     n, hit = 40_000, np.array([[0.02, 0.01, 0.01, 0.3, 0.02], [0.6, 0.5, 0.4, 0.3, 0.6]])
