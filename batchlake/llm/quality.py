@@ -36,11 +36,13 @@ POLICIES: dict[str, tuple[str, ...]] = {
     "v1": ("no_words", "symbols", "exclamations", "pipes", "uppercase"),
     "v2": ("no_words", "too_long", "word_length", "symbols", "exclamations", "pipes", "uppercase", "adjacent_repeats", "few_letters"),
 }
+#: Policies beyond those that the ledger has columns for.
+ALL_POLICIES: dict[str, tuple[str, ...]] = POLICIES | {"v3": (*POLICIES["v2"], "duplicate_lines")}
 MEASURES = ("n_chars", "n_words", "n_lines", "mean_word", "symbols", "exclamations", "pipes", "uppercase", "repeats", "letters", "duplicate_lines")
 
 
 def mask(policy: str) -> int:
-    return sum(1 << BIT[r] for r in POLICIES[policy])
+    return sum(1 << BIT[r] for r in ALL_POLICIES[policy])
 
 
 def _measured(docs: DataFrame, *keep: str) -> DataFrame:
@@ -99,6 +101,22 @@ def ablation(led: DataFrame) -> DataFrame:
     )
 
 
+def ablation_of_rules(led: DataFrame) -> DataFrame:
+    """(policy, rule, used, failed, only_this, kept, kept_without, kept_with) from a ledger's bits, for every rule and every policy.
+
+    kept_with: by the policy with the rule, be it in it (`used`) or not; the others are those of ablation().
+    """
+    h = led.groupBy("fail_bits").agg(F.count("*").alias("n"))
+    rows = [(v, r, r in ALL_POLICIES[v], 1 << BIT[r], mask(v)) for v in ALL_POLICIES for r in RULES]
+    rules = F.explode(F.array(*(F.struct(F.lit(v).alias("policy"), F.lit(r).alias("rule"), F.lit(u).alias("used"), F.lit(b).cast("long").alias("bit"), F.lit(m).cast("long").alias("mask")) for v, r, u, b, m in rows)))
+    x = h.withColumn("r", rules).select("fail_bits", "n", "r.*")
+    total = lambda c: F.coalesce(F.sum(F.when(F.expr(c), F.col("n"))), F.lit(0)).cast("long")
+    return x.groupBy("policy", "rule", "used").agg(
+        total("fail_bits & bit <> 0").alias("failed"), total("fail_bits & mask = bit").alias("only_this"), total("fail_bits & mask = 0").alias("kept"),
+        total("fail_bits & (mask & ~bit) = 0").alias("kept_without"), total("fail_bits & (mask | bit) = 0").alias("kept_with"),
+    )
+
+
 def keep_good(docs: DataFrame, policy: str = "v2") -> DataFrame:
     """The rows of docs that the policy accepts, with the columns of docs."""
     names = docs.columns

@@ -13,8 +13,8 @@ from batchlake.llm.durable import durable, parquet
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that policy v2 of the rules rejects go."""
-    return quality.keep_good(docs, "v2")
+    """Documents that policy v3 of the rules rejects go."""
+    return quality.keep_good(docs, "v3")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

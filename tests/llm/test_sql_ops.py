@@ -132,6 +132,19 @@ def test_rules_and_policies(edge):
     assert kept.columns == edge[0].columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted((6, 6, 6, 7, 8, 9, 14, None), key=str)
 
 
+def test_repeated_lines_are_rejected_and_ablated(spark):
+    import corpus_pipeline
+
+    rows = [(1, "the same line\n" * 9), (2, "\n".join(f"line {'abcdefghi'[k]} of nine" for k in range(9)))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.quality_rules(spark, d, SF).collect()] == [2]
+    got = {(r.policy, r.rule): r for r in quality.ablation_of_rules(quality.ledger(d)).collect()}
+    assert set(got) == {(v, r) for v in ("v1", "v2", "v3") for r in quality.RULES}
+    r, unused = got["v3", "duplicate_lines"], got["v2", "duplicate_lines"]
+    assert r.used and (r.failed, r.only_this, r.kept, r.kept_without, r.kept_with) == (1, 1, 1, 2, 1)
+    assert not unused.used and (unused.failed, unused.only_this, unused.kept, unused.kept_without, unused.kept_with) == (1, 0, 2, 2, 1)
+
+
 def test_bins_hold_whole_texts(edge):
     d = edge[0]
     bins = packing.packed_bins(d, 64).collect()
