@@ -3,11 +3,19 @@
 Centroids are found by k-means over all vectors with a penalty on full clusters,
 so posting lists have like lengths. A vector near the boundary of clusters is
 replicated: it goes to those of its `replicas` nearest centroids that are within
-`spread` times the least distance. Centroids (about `lists_per_root` times the root of the number of
-vectors) are held by every worker and searched in a proximity graph. A query
-takes the lists whose centroids are within `prune` times the distance of its
-nearest one. Queries and postings meet by list, where distances are one matrix
-product; the best of each list are merged by query.
+`spread` times the least distance. Centroids (about `lists_per_root` times the root of
+the number of vectors, but lists have at least `least_list` vectors on average) are held
+by every worker and searched in a proximity graph. A query
+takes every list whose centroid is within `prune` times the distance of its
+nearest one (or of the mean distance of vectors from their centroids, if that is
+more, as a query that lies on a centroid would else see one list only), however
+many these are: the beam is widened until a list beyond the ratio is met.
+
+All vectors are indexed; queries are those whose vec_id is divisible by `every`.
+A list of more than `part_rows` postings is split by the hash of its vectors and a
+probe goes to each part, so a hot list is many tasks' work. A task holds one part
+of one list at a time and gives the k best of it for each query; the k best of
+all are then taken by Spark's window group limit, before and after the shuffle.
 
 Distances are Euclidean. Cases: a null vec_id, a null vector, one with a null,
 NaN or infinite element, and one whose length is not that of most vectors are
@@ -15,6 +23,7 @@ passed over; repeated rows (same vec_id and vector) count once, so vectors under
 one vec_id that differ are each a neighbour and a query of that vec_id, and a
 query never has its own vec_id as neighbour; ties go by vec_id; fewer than k
 others give fewer rows; an empty table gives none; other columns are ignored.
+vec_id is an integer, or can be cast to one.
 """
 
 from __future__ import annotations
@@ -23,11 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .durable import durable
 
-K, LISTS_PER_ROOT, SPREAD, REPLICAS, PRUNE, SHARE, LEAST_PROBES, ALWAYS, ROUNDS = 10, 2.0, 1.1, 4, 1.25, 0.25, 32, 16, 6
+K, LISTS_PER_ROOT, SPREAD, REPLICAS, PRUNE, ROUNDS, PART_ROWS, LEAST_LIST = 10, 2.0, 1.1, 4, 1.15, 6, 20_000, 64
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -164,11 +173,12 @@ def _assign_sums(graph: Graph, penalty: np.ndarray):
     return run
 
 
-def train_centroids(p: DataFrame, dim: int, lists: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Balanced k-means over all vectors; only sums a cluster come to the driver."""
-    first = p.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(lists).select("v").toArrow()
-    c = _vectors(first.column("v").combine_chunks()).copy()
-    penalty = np.zeros(len(c), np.float32)
+def train_centroids(p: DataFrame, dim: int, lists: int, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """Centroids by balanced k-means over all vectors, and the mean squared distance of vectors from theirs; only sums a cluster come to the driver."""
+    first = p.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(4 * lists).select("v").toArrow()
+    c = _vectors(first.column("v").combine_chunks())
+    c = c[np.sort(np.unique(c, axis=0, return_index=True)[1])[:lists]].copy()  # copies would begin as one cluster many times
+    penalty, mean = np.zeros(len(c), np.float32), 0.0
     schema = "list long, total array<double>, n long, spread double"
     for _ in range(rounds):
         s = p.mapInArrow(_assign_sums(Graph(c), penalty), schema)
@@ -177,98 +187,131 @@ def train_centroids(p: DataFrame, dim: int, lists: int, rounds: int = ROUNDS) ->
         c[at] = np.stack(s.column("total").to_numpy(zero_copy_only=False)) / n[:, None]
         size = np.zeros(len(c))
         size[at] = n
-        mean = s.column("spread").to_numpy().sum() / max(n.sum(), 1)
+        mean = float(s.column("spread").to_numpy().sum() / max(n.sum(), 1))
         penalty = (penalty + 0.1 * mean * (size / max(size.mean(), 1) - 1)).astype(np.float32)
-    return c
+    return c, mean
 
 
-def within(d: np.ndarray, ratio: float) -> np.ndarray:
-    """Mask of the lists whose squared distances d, nearest first, are within `ratio` times the least distance."""
-    return d <= ratio * ratio * d[:, :1] + 1e-12
+def within(d: np.ndarray, ratio: float, least: float = 0.0) -> np.ndarray:
+    """Mask of the lists whose squared distances d, nearest first, are within `ratio` times the least distance, or the root of `least` if that is more."""
+    return d <= ratio * ratio * np.maximum(d[:, :1], least) + 1e-12
 
 
-def _rows(graph: Graph, spread: float, replicas: int, prune: float, probes: int):
-    """(list, side, vec_id, v): side 0 is a posting, 1 a query's probe."""
+def probed(graph: Graph, x: np.ndarray, prune: float, least: float, want: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(query, centroid) for every centroid within the ratio; queries whose beam was too narrow are searched again with a wider one."""
+    queries, lists, open_ = [], [], np.arange(len(x))
+    while len(open_):
+        ids, d = graph.search(x[open_], want)
+        mask = within(d, prune, least)
+        narrow = mask[:, -1] & (ids.shape[1] < len(graph.c))
+        r, k = np.nonzero(mask & ~narrow[:, None])
+        queries.append(open_[r])
+        lists.append(ids[r, k])
+        open_, want = open_[narrow], 2 * want
+    return (np.concatenate(queries), np.concatenate(lists)) if queries else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+
+def _postings(graph: Graph, spread: float, replicas: int):
+    """(list, side = 0, vec_id, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
                 x, vec = _vectors(part.column("v")), part.column("vec_id").to_numpy()
-                ids, d = graph.search(x, max(probes, replicas))
-                posting = within(d[:, :replicas], spread)
-                probe = within(d[:, :probes], prune)
-                probe[:, :ALWAYS] = True  # a query that lies on a centroid would else see one list
-                for side, mask in ((0, posting), (1, probe)):
-                    r, k = np.nonzero(mask)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[r, k].astype(np.int64)), pa.array(np.full(len(r), side, np.int32)), pa.array(vec[r]), _binary(x[r])], ["list", "side", "vec_id", "v"])
+                ids, d = graph.search(x, replicas)
+                r, k = np.nonzero(within(d, spread))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[r, k].astype(np.int64)), pa.array(np.zeros(len(r), np.int32)), pa.array(vec[r]), _binary(x[r])], ["list", "side", "vec_id", "v"])
 
     return run
 
 
-def _search(k: int):
+def _probes(graph: Graph, prune: float, least: float):
+    """(list, side = 1, vec_id, v)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got).combine_chunks()
-        lists, side, vec = (t.column(c).to_numpy() for c in ("list", "side", "vec_id"))
-        x = _vectors(t.column("v").combine_chunks())
-        order = np.lexsort((side, lists))
-        at = np.flatnonzero(np.append(True, np.diff(lists[order]) != 0))
-        for s, e in zip(at.tolist(), [*at[1:].tolist(), len(order)]):
-            rows = order[s:e]
-            p, q = rows[side[rows] == 0], rows[side[rows] == 1]
-            if not len(p) or not len(q):
-                continue
-            for lo in range(0, len(q), 1024):
-                part = q[lo : lo + 1024]
-                d = squared(x[part], x[p])
-                d[vec[part][:, None] == vec[p]] = np.inf
-                m = min(k, len(p))
-                top = np.argpartition(d, m - 1, axis=1)[:, :m] if m < len(p) else np.broadcast_to(np.arange(len(p)), (len(part), len(p)))
-                td = np.take_along_axis(d, top, 1)
-                # what ties with the last of the best stays too, as ties go by vec_id
-                tie = (d == td.max(1)[:, None]) & np.isfinite(d)
-                r, j = np.nonzero(tie)
-                r2, j2 = np.nonzero(np.isfinite(td))
-                r, j = np.append(r2, r), np.append(top[r2, j2], j)
-                # distances anew without cancellation
-                exact = ((x[part[r]].astype(np.float64) - x[p[j]]) ** 2).sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array(vec[part[r]]), pa.array(vec[p[j]]), pa.array(np.sqrt(exact))], ["vec_id", "neighbour_id", "distance"])
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                x, vec = _vectors(part.column("v")), part.column("vec_id").to_numpy()
+                r, lists = probed(graph, x, prune, least)
+                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int64)), pa.array(np.ones(len(r), np.int32)), pa.array(vec[r]), _binary(x[r])], ["list", "side", "vec_id", "v"])
 
     return run
 
 
-def _merge(k: int):
+def _best(q: np.ndarray, qv: np.ndarray, x: np.ndarray, vec: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query vec_id, neighbour, distance): the k nearest of x for each query, ties by vec_id."""
+    d = squared(q, x)
+    d[qv[:, None] == vec] = np.inf
+    m = min(k, len(x))
+    last = np.partition(d, m - 1, axis=1)[:, m - 1 : m]
+    # what is as near as the last one but for rounding is measured anew
+    near = np.isfinite(d) & (d <= np.where(np.isfinite(last), last + 1e-5 * (np.abs(last) + (q * q).sum(1)[:, None]), np.inf))
+    r, j = np.nonzero(near)
+    exact = np.empty(len(r))
+    for at in range(0, len(r), 1 << 16):
+        s = slice(at, at + (1 << 16))
+        exact[s] = ((q[r[s]].astype(np.float64) - x[j[s]]) ** 2).sum(1)
+    o = np.lexsort((vec[j], exact, r))
+    r, j, exact = r[o], j[o], exact[o]
+    first = np.searchsorted(r, np.arange(len(q)))
+    ok = np.arange(len(r)) - first[r] < k
+    return qv[r[ok]], vec[j[ok]], np.sqrt(exact[ok])
+
+
+def _search(k: int):
+    """Over rows sorted by (list, part, side): a part's postings are held, its queries pass by in blocks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        q, n, d = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in ("vec_id", "neighbour_id", "distance"))
-        o = np.lexsort((d, n, q))
-        q, n, d = q[o], n[o], d[o]
-        new = np.append(True, (q[1:] != q[:-1]) | (n[1:] != n[:-1]))  # the nearest of what a pair has
-        q, n, d = q[new], n[new], d[new]
-        o = np.lexsort((n, d, q))
-        q, n, d = q[o], n[o], d[o]
-        at = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
-        rank = np.arange(len(q)) - np.repeat(at, np.diff(np.append(at, len(q)))) + 1
-        ok = rank <= k
-        yield pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(rank[ok]), pa.array(n[ok]), pa.array(d[ok])], ["vec_id", "rank", "neighbour_id", "distance"])
+        key, held, joined = None, [], None
+        for b in batches:
+            cols = [b.column(c).to_numpy() for c in ("list", "part", "side", "vec_id")]
+            x = _vectors(b.column("v"))
+            change = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0) | (np.diff(cols[2]) != 0)) + 1
+            for s, e in zip([0, *change.tolist()], [*change.tolist(), b.num_rows]):
+                if s == e:
+                    continue
+                now = (int(cols[0][s]), int(cols[1][s]))
+                if now != key:
+                    key, held, joined = now, [], None
+                if cols[2][s] == 0:
+                    held.append((x[s:e], cols[3][s:e]))
+                    continue
+                if not held:
+                    continue
+                if joined is None:
+                    joined = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                for lo in range(s, e, 256):
+                    hi = min(e, lo + 256)
+                    got = _best(x[lo:hi], cols[3][lo:hi], *joined, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], ["vec_id", "neighbour_id", "distance"])
 
     return run
 
 
-def nearest(vectors: DataFrame, k: int = K, lists_per_root: float = LISTS_PER_ROOT, spread: float = SPREAD, replicas: int = REPLICAS, prune: float = PRUNE, share: float = SHARE) -> DataFrame:
-    """(vec_id, rank, neighbour_id, distance): the k nearest others of every vector (vec_id, embedding)."""
+def nearest(vectors: DataFrame, k: int = K, every: int = 1, lists_per_root: float = LISTS_PER_ROOT, spread: float = SPREAD, replicas: int = REPLICAS, prune: float = PRUNE, part_rows: int = PART_ROWS, least_list: int = LEAST_LIST) -> DataFrame:
+    """(vec_id, rank, neighbour_id, distance): the k nearest others of every vector (vec_id, embedding) whose vec_id is divisible by `every`."""
     schema = "vec_id long, rank long, neighbour_id long, distance double"
     p, dim = packed(vectors)
     if dim == 0:
         return vectors.sparkSession.createDataFrame([], schema)
-    lists = int(np.ceil(lists_per_root * np.sqrt(p.count())))
-    graph = Graph(train_centroids(p, dim, lists))
-    probes = max(replicas, LEAST_PROBES, int(np.ceil(share * lists)))
-    met = p.mapInArrow(_rows(graph, spread, replicas, prune, probes), "list long, side int, vec_id long, v binary")
-    best = met.repartition("list").mapInArrow(_search(k), "vec_id long, neighbour_id long, distance double")
-    return best.repartition("vec_id").mapInArrow(_merge(k), schema)
+    n = p.count()
+    lists = int(np.ceil(min(lists_per_root * np.sqrt(n), n / least_list)))
+    centroids, mean = train_centroids(p, dim, lists)
+    graph = Graph(centroids)
+    kind = "list long, side int, vec_id long, v binary"
+    postings = durable(p.mapInArrow(_postings(graph, spread, replicas), kind))
+    sizes = postings.groupBy("list").agg(F.ceil(F.count("*") / part_rows).alias("parts")).toArrow()  # one row a list
+    parts = np.ones(len(centroids), np.int64)
+    parts[sizes.column("list").to_numpy()] = sizes.column("parts").to_numpy()
+    long = F.create_map(*(F.lit(int(x)) for i in np.flatnonzero(parts > 1) for x in (i, parts[i]))) if (parts > 1).any() else None
+    of = F.lit(1) if long is None else F.coalesce(F.element_at(long, F.col("list").cast("int")), F.lit(1))
+    rows = postings.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), of).cast("int"))
+    probes = p.filter(F.col("vec_id") % every == 0).mapInArrow(_probes(graph, prune, mean), kind)
+    met = rows.unionByName(probes.withColumn("part", F.explode(F.sequence(F.lit(0), (of - 1).cast("int")))))
+    met = met.repartition("list", "part").sortWithinPartitions("list", "part", "side").select("list", "part", "side", "vec_id", "v")
+    best = met.mapInArrow(_search(k), "vec_id long, neighbour_id long, distance double").repartition("vec_id")
+    best = best.groupBy("vec_id", "neighbour_id").agg(F.min("distance").alias("distance"))  # replicas meet in several lists
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy("distance", "neighbour_id")).cast("long"))
+    return best.filter(F.col("rank") <= k).select("vec_id", "rank", "neighbour_id", "distance")

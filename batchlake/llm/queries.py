@@ -23,7 +23,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_posting_list_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.nearest(parquet(spark, sf_dir, "embeddings"))
+    return neighbours.nearest(parquet(spark, sf_dir, "embeddings"), every=50)
 
 
 def op5_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
