@@ -1,7 +1,8 @@
 """Operator 5: rates that bring a corpus to target token totals, with soft domain membership.
 
-A classifier trained on the labelled table gives each document a posterior over
-domains. A document of n tokens and posterior p, taken at rate x, adds n x p to
+A classifier trained on the labelled table (a softmax over the words, bigrams and
+word beginnings whose frequencies differ between domains beyond chance) gives each
+document a posterior over domains. A document of n tokens and posterior p, taken at rate x, adds n x p to
 the expected token totals. The rates minimise the squared distance of these
 totals to their targets over x >= 0, and of the rates that do, those nearest to 1
 are taken, in the metric in which a document weighs by its tokens. They are
@@ -10,12 +11,16 @@ as there are domains: Newton steps on the prices, each one aggregation that trie
 some step lengths at once, with a weight on the distance from 1 that is lowered
 until the totals are right. They are when each domain's total is within
 `tolerance` of its target, or, where targets are out of reach, when a dual bound
-shows it to be that near to its total at the optimum; otherwise solve() raises.
+shows it to be that near to its total at the optimum, or, if the targets are missed by
+far more than that, all totals together within FLOOR of the targets' norm; otherwise
+solve() raises.
 
 Cases: a null or empty text has no tokens and rate 1; without labels there is one
 domain, `clean`; domains without a label get no mass, and a target for them is
 met as far as posteriors allow; repeated rows and null doc_ids are documents of
-their own; an empty table gives no rows; other columns are ignored.
+their own (of equal doc_id and text they share the draw of mix()); of several labels
+of a doc_id the greatest domain counts; an empty table gives no rows; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,16 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from . import linear, words as tw
-from .durable import durable
+from .durable import durable, unpacked, whole_row
 
 DOMAINS = ("clean", "low", "toxic")
 #: Wanted expected tokens of each domain, as a share of what the corpus has of it.
 TARGETS = {"clean": 1.25, "low": 0.25, "toxic": 0.1}
-KINDS = "Rub"
-STEPS, TOLERANCE = 40, 1e-3
+KINDS = "Rubp"
+STEPS, TOLERANCE, FLOOR = 40, 1e-3, 1e-5
 LENGTHS = (1, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001)
 
 
@@ -44,26 +50,29 @@ def domain_labels(labels: DataFrame) -> DataFrame:
     return known.groupBy("doc_id").agg(F.max(F.when(toxic, 2).when(low, 1).otherwise(0)).alias("y"))
 
 
-def domain_model(docs: DataFrame, labels: DataFrame, fit_rows: int) -> linear.Model:
-    """Softmax over DOMAINS, from at most `fit_rows` labelled documents."""
+def domain_model(docs: DataFrame, labels: DataFrame, fit_rows: int) -> linear.Chosen:
+    """Softmax over DOMAINS, from at most `fit_rows` labelled rows."""
     got = linear.sample(docs, domain_labels(labels), fit_rows)
     y = got.column("y").to_numpy().astype(np.int64)
     if len(y) == 0:
-        return linear.Model(np.zeros((1 << linear.BITS, len(DOMAINS))), np.array([0.0, -50.0, -50.0]), KINDS)
-    ptr, slot = linear.matrix(got.column("text"), linear.BITS, KINDS)
-    return linear.fit_softmax(ptr, slot, np.eye(len(DOMAINS))[y], linear.BITS, KINDS)
+        return linear.Chosen(np.zeros(0, np.int64), np.zeros((0, len(DOMAINS))), np.array([0.0, -50.0, -50.0]), KINDS)
+    return linear.fit_chosen(got.column("text"), np.eye(len(DOMAINS))[y], KINDS)
 
 
-def _posteriors(model: linear.Model, keep: list[str]):
+POSTERIORS = [StructField("n_tokens", LongType()), *(StructField(f"p_{d}", DoubleType()) for d in DOMAINS)]
+
+
+def _posteriors(model: linear.Chosen, keep: str):
+    """(keep, n_tokens, p_*) of rows (keep, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text") if "text" in b.schema.names else b.column("__row").field("text")
-            for at, part in tw.slices(texts):
+            for at, part in tw.slices(b.column("text")):
                 w = linear.tokens(part, model.kinds)
                 p = linear.softmax(model.scores(w))
                 begins = (w.start == w.offsets[w.doc]) | (w.data[w.start - 1] <= 32)  # else it follows on another run
                 n = np.bincount(w.doc[begins], minlength=len(part))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, len(part)) for c in keep), pa.array(n), *(pa.array(p[:, k]) for k in range(p.shape[1]))], [*keep, "n_tokens", *(f"p_{d}" for d in DOMAINS)])
+                yield pa.RecordBatch.from_arrays([b.column(keep).slice(at, len(part)), pa.array(n), *(pa.array(p[:, k]) for k in range(p.shape[1]))], [keep, *(f.name for f in POSTERIORS)])
 
     return run
 
@@ -124,7 +133,7 @@ def solve(table: DataFrame, targets: dict[str, float], steps: int = STEPS, toler
         if u @ u > 0:
             u *= max(0.0, -(u @ wanted) / (u @ u))
         gap = max(0.0, miss @ miss / 2 + u @ u / 2 + u @ wanted)
-        if (np.abs(miss) <= near).all() or np.sqrt(2 * gap) <= near.min():
+        if (np.abs(miss) <= near).all() or np.sqrt(2 * gap) <= near.min() or np.sqrt(2 * gap) <= FLOOR * np.linalg.norm(wanted) < 0.1 * np.linalg.norm(miss):
             return prices, total, wanted
         if step == steps:
             break
@@ -140,54 +149,33 @@ def solve(table: DataFrame, targets: dict[str, float], steps: int = STEPS, toler
     raise RuntimeError(f"the mixing rates did not converge in {steps} steps: totals {total.tolist()}, wanted {wanted.tolist()}, within {near.tolist()}; the distance to the targets may exceed the least one by {np.sqrt(2 * gap)} tokens")
 
 
-def _rated(prices: np.ndarray, keep: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = np.column_stack([b.column(f"p_{d}").to_numpy() for d in DOMAINS])
-            rate = np.where(b.column("n_tokens").to_numpy() > 0, replay(p, prices)[0], 1.0)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), b.column("n_tokens"), *(b.column(f"p_{d}") for d in DOMAINS), pa.array(rate)], [*keep, "n_tokens", *(f"p_{d}" for d in DOMAINS), "rate"])
-
-    return run
-
-
-def _rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float], fit_rows: int) -> DataFrame:
-    """(doc_id, tk, n_tokens, p_*, rate); tk is the text's hash."""
-    model = domain_model(docs, labels, fit_rows)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    posts = ", ".join(f"p_{d} double" for d in DOMAINS)
-    d = docs.select("doc_id", "text", F.xxhash64("text").alias("tk"))
-    table = durable(d.mapInArrow(_posteriors(model, ["doc_id", "tk"]), f"doc_id {kind}, tk long, n_tokens long, {posts}"))
-    prices, _, _ = solve(table.filter("n_tokens > 0").drop("doc_id", "tk"), targets)
-    return table.mapInArrow(_rated(prices, ["doc_id", "tk"]), f"doc_id {kind}, tk long, n_tokens long, {posts}, rate double")
+def _rate(prices: np.ndarray) -> Column:
+    worth = sum((F.lit(float(x)) * F.col(f"p_{d}") for x, d in zip(prices, DOMAINS)), F.lit(0.0))
+    return F.when(F.col("n_tokens") > 0, F.greatest(1 - worth, F.lit(0.0))).otherwise(1.0)
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, fit_rows: int = linear.FIT_ROWS) -> DataFrame:
     """(doc_id, n_tokens, p_<domain>, rate) for each row of docs; `fit_rows` bounds the classifier's labelled sample."""
-    return _rates(docs, labels, targets, fit_rows).drop("tk")
+    model = domain_model(docs, labels, fit_rows)
+    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *POSTERIORS])
+    table = durable(docs.select("doc_id", "text").mapInArrow(_posteriors(model, "doc_id"), schema))
+    prices, _, _ = solve(table.filter("n_tokens > 0").drop("doc_id"), targets)
+    return table.withColumn("rate", _rate(prices))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, fit_rows: int = linear.FIT_ROWS) -> DataFrame:
     """docs, each row as often as its rate says: floor(rate) times, and once more with probability its fraction.
 
-    The draw is a hash of (doc_id, text), so it is the same on every run. The
-    texts are not shuffled: posteriors are computed where the rows are, and rates
-    follow from the prices.
+    The draw is a hash of (doc_id, text), so it is the same on every run. Texts are
+    read once: rows are kept with their posteriors, from which rates follow by the
+    prices; nothing but statistics is shuffled. Null and empty texts have rate 1 and
+    stay; columns are those of docs, whatever their names; an empty table gives none.
     """
     model = domain_model(docs, labels, fit_rows)
-    posts = ", ".join(f"p_{d} double" for d in DOMAINS)
-    table = durable(docs.select("text").mapInArrow(_posteriors(model, []), f"n_tokens long, {posts}"))
-    prices, _, _ = solve(table.filter("n_tokens > 0"), targets)
-    names = docs.columns
-    row = F.struct(*(F.col(f"`{c}`") for c in names))
-    tagged = docs.select(row.alias("__row"), F.expr("pmod(xxhash64(doc_id, text, 11), 1000003) / 1000003.0D").alias("draw"))
-
-    def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rated, post = _rated(prices, ["__row", "draw"]), _posteriors(model, ["__row", "draw"])
-        for b in rated(post(batches)):
-            rate = b.column("rate").to_numpy()
-            n = np.floor(rate).astype(np.int64) + (b.column("draw").to_numpy() < rate % 1)
-            take = np.repeat(np.arange(len(n)), n)
-            yield pa.RecordBatch.from_arrays([b.column("__row").take(pa.array(take))], ["__row"])
-
-    out = tagged.mapInArrow(copies, f"__row {tagged.schema['__row'].dataType.simpleString()}")
-    return out.select([F.col("__row").getField(c).alias(c) for c in names])
+    tagged = docs.select(whole_row(docs).alias("__row"), "text")
+    table = durable(tagged.mapInArrow(_posteriors(model, "__row"), StructType([tagged.schema["__row"], *POSTERIORS])))
+    prices, _, _ = solve(table.filter("n_tokens > 0").drop("__row"), targets)
+    draw = F.pmod(F.xxhash64("__row.doc_id", "__row.text", F.lit(11)), F.lit(1000003)) / F.lit(1000003.0)
+    rate = table.select("__row", _rate(prices).alias("rate"), draw.alias("draw"))
+    n = rate.select("__row", F.expr("cast(floor(rate) as int) + if(draw < rate - floor(rate), 1, 0)").alias("n")).filter("n > 0")
+    return unpacked(n.withColumn("again", F.explode(F.sequence(F.lit(1), "n"))), "__row", docs.columns)

@@ -3,7 +3,8 @@
 Every rule is evaluated once for every document: the ledger keeps what was
 measured and one bit for each rule that failed. A policy is a mask of rules that
 reject; it is applied to the stored bits, so a new version needs no new pass
-over the texts. Ablations count from the histogram of bitmasks alone.
+over the texts. Ablations count from the histogram of bitmasks alone. `too_long` is noted, but no
+policy rejects a text for its length.
 
 Cases: a null text is measured as an empty one (it fails `no_words`); ratios of
 a text without words are 0; repeated rows and null doc_ids have ledger rows of
@@ -14,6 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .durable import unpacked, whole_row
+
 SPACE = r"[ \t\n\r\f]+"
 
 #: name -> SQL condition on the measurements under which a document fails; the order gives the bit.
@@ -34,15 +37,14 @@ BIT = {name: k for k, name in enumerate(RULES)}
 #: version -> rules that reject under it.
 POLICIES: dict[str, tuple[str, ...]] = {
     "v1": ("no_words", "symbols", "exclamations", "pipes", "uppercase"),
-    "v2": ("no_words", "too_long", "word_length", "symbols", "exclamations", "pipes", "uppercase", "adjacent_repeats", "few_letters"),
+    "v2": ("no_words", "word_length", "symbols", "exclamations", "pipes", "uppercase", "adjacent_repeats", "few_letters"),
+    "v3": ("no_words", "word_length", "symbols", "exclamations", "pipes", "uppercase", "adjacent_repeats", "few_letters", "duplicate_lines"),
 }
-#: Policies beyond those that the ledger has columns for.
-ALL_POLICIES: dict[str, tuple[str, ...]] = POLICIES | {"v3": (*POLICIES["v2"], "duplicate_lines")}
 MEASURES = ("n_chars", "n_words", "n_lines", "mean_word", "symbols", "exclamations", "pipes", "uppercase", "repeats", "letters", "duplicate_lines")
 
 
 def mask(policy: str) -> int:
-    return sum(1 << BIT[r] for r in ALL_POLICIES[policy])
+    return sum(1 << BIT[r] for r in POLICIES[policy])
 
 
 def _measured(docs: DataFrame, *keep: str) -> DataFrame:
@@ -85,29 +87,14 @@ def ledger(docs: DataFrame) -> DataFrame:
 
 
 def ablation(led: DataFrame) -> DataFrame:
-    """(policy, rule, failed, only_this, kept, kept_without) from a ledger's bits.
-
-    failed: documents with the rule's bit; only_this: those that the policy rejects
-    for this rule alone; kept: by the policy; kept_without: by the policy less the rule.
-    """
-    h = led.groupBy("fail_bits").agg(F.count("*").alias("n"))
-    rows = [(v, r, 1 << BIT[r], mask(v)) for v in POLICIES for r in POLICIES[v]]
-    rules = F.explode(F.array(*(F.struct(F.lit(v).alias("policy"), F.lit(r).alias("rule"), F.lit(b).cast("long").alias("bit"), F.lit(m).cast("long").alias("mask")) for v, r, b, m in rows)))
-    x = h.withColumn("r", rules).select("fail_bits", "n", "r.*")
-    total = lambda c: F.coalesce(F.sum(F.when(F.expr(c), F.col("n"))), F.lit(0)).cast("long")
-    return x.groupBy("policy", "rule").agg(
-        total("fail_bits & bit <> 0").alias("failed"), total("fail_bits & mask = bit").alias("only_this"),
-        total("fail_bits & mask = 0").alias("kept"), total("fail_bits & (mask - bit) = 0").alias("kept_without"),
-    )
-
-
-def ablation_of_rules(led: DataFrame) -> DataFrame:
     """(policy, rule, used, failed, only_this, kept, kept_without, kept_with) from a ledger's bits, for every rule and every policy.
 
-    kept_with: by the policy with the rule, be it in it (`used`) or not; the others are those of ablation().
+    failed: documents with the rule's bit; only_this: those that the policy rejects for
+    this rule alone; kept: by the policy; kept_without: by the policy less the rule;
+    kept_with: by the policy with the rule, be it in it (`used`) or not.
     """
     h = led.groupBy("fail_bits").agg(F.count("*").alias("n"))
-    rows = [(v, r, r in ALL_POLICIES[v], 1 << BIT[r], mask(v)) for v in ALL_POLICIES for r in RULES]
+    rows = [(v, r, r in POLICIES[v], 1 << BIT[r], mask(v)) for v in POLICIES for r in RULES]
     rules = F.explode(F.array(*(F.struct(F.lit(v).alias("policy"), F.lit(r).alias("rule"), F.lit(u).alias("used"), F.lit(b).cast("long").alias("bit"), F.lit(m).cast("long").alias("mask")) for v, r, u, b, m in rows)))
     x = h.withColumn("r", rules).select("fail_bits", "n", "r.*")
     total = lambda c: F.coalesce(F.sum(F.when(F.expr(c), F.col("n"))), F.lit(0)).cast("long")
@@ -117,14 +104,16 @@ def ablation_of_rules(led: DataFrame) -> DataFrame:
     )
 
 
-def keep_good(docs: DataFrame, policy: str = "v2") -> DataFrame:
-    """The rows of docs that the policy accepts, with the columns of docs."""
-    names = docs.columns
-    tagged = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), F.col("text"))
+def keep_good(docs: DataFrame, policy: str = "v3") -> DataFrame:
+    """The rows of docs that the policy accepts, with the columns of docs, whatever their names.
+
+    The ledger's bits decide: null, empty and blank texts go (`no_words`), repeated
+    rows stay as often as they are there, an empty table gives no rows.
+    """
+    tagged = docs.select(whole_row(docs).alias("__row"), F.col("text"))
     # the filter stays above a projection that is not deterministic; pushed down, it would split the text anew for every rule
     d = _measured(tagged, "__row").select("__row", F.expr(_bits_sql()).alias("__bits"), F.monotonically_increasing_id().alias("__stay"))
-    d = d.filter(F.expr(f"__bits & {mask(policy)} = 0 and __stay >= 0"))
-    return d.select(*(F.col("__row").getField(c).alias(c) for c in names))
+    return unpacked(d.filter(F.expr(f"__bits & {mask(policy)} = 0 and __stay >= 0")), "__row", docs.columns)
 
 
 _DUCK_LEDGER = rf"""
@@ -151,10 +140,10 @@ led as (select *, ({_bits_sql()})::BIGINT fail_bits from c)
 LEDGER_SQL = _DUCK_LEDGER + "select *, " + ", ".join(f"fail_bits & {mask(v)} = 0 as keep_{v}" for v in POLICIES) + " from led"
 ABLATION_SQL = (
     _DUCK_LEDGER
-    + ", r(policy, rule, bit, mask) as (values "
-    + ", ".join(f"('{v}', '{r}', {1 << BIT[r]}, {mask(v)})" for v in POLICIES for r in POLICIES[v])
+    + ", r(policy, rule, used, bit, mask) as (values "
+    + ", ".join(f"('{v}', '{r}', {r in POLICIES[v]}, {1 << BIT[r]}, {mask(v)})" for v in POLICIES for r in RULES)
     + """)
-select policy, rule, count(*) filter (fail_bits & bit <> 0) failed, count(*) filter (fail_bits & mask = bit) only_this,
-  count(*) filter (fail_bits & mask = 0) kept, count(*) filter (fail_bits & (mask - bit) = 0) kept_without
-from led cross join r group by policy, rule"""
+select policy, rule, used, count(*) filter (fail_bits & bit <> 0) failed, count(*) filter (fail_bits & mask = bit) only_this, count(*) filter (fail_bits & mask = 0) kept,
+  count(*) filter (fail_bits & mask & ~bit = 0) kept_without, count(*) filter (fail_bits & (mask | bit) = 0) kept_with
+from led cross join r group by policy, rule, used"""
 )

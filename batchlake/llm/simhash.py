@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from . import words as tw
 from .components import components, local_labels
-from .durable import durable
+from .durable import durable, unpacked, whole_row
 
 BITS = 64
 LANES = 24  # bytes of the whole sketch
@@ -270,6 +270,7 @@ def near_duplicates(docs: DataFrame, radius: int = 11, confirm: int = 38, parts:
     digit, empty ones too, are duplicates only of the very same text; a repeated
     row (same doc_id and text) is one document here; of ties the least
     (doc_id, tk) stays; an empty table gives no rows; other columns are ignored.
+    doc_id is an integer, or can be cast to one.
     """
     return _removals(durable(sketches(docs)), radius, confirm, parts)
 
@@ -292,13 +293,17 @@ def _removals(s: DataFrame, radius: int, confirm: int, parts: int) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, radius: int = 11, confirm: int = 38, parts: int = 4) -> DataFrame:
     """`docs` without the documents that near_duplicates() names; of repeated rows of one (doc_id, text) one stays.
 
-    Rows with a null doc_id or text stay as they are. Columns are those of docs.
+    Which of them stays is settled by their other columns: the row that is least as
+    JSON. Rows with a null doc_id or text stay as they are. Columns are those of
+    docs, whatever their names; an empty table gives no rows.
     """
     s = durable(sketches(docs))
     gone = _removals(s, radius, confirm, parts).select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk"))
     again = durable(s.groupBy("doc_id", "tk").count().filter("count > 1").select(F.col("doc_id").alias("__id"), F.col("tk").alias("__tk")))
-    same = (docs["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__tk"))
+    rows = docs.select(whole_row(docs).alias("__row"), F.col("doc_id").cast("long").alias("__doc"), F.xxhash64("text").alias("__hash"), F.col("text").isNotNull().alias("__text"))
+    same = F.col("__text") & (F.col("__doc") == F.col("__id")) & (F.col("__hash") == F.col("__tk"))
     if again.isEmpty():
-        return docs.join(gone, same, "left_anti")
-    once = docs.join(again.join(gone, ["__id", "__tk"], "left_anti"), same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return docs.join(gone.unionAll(again), same, "left_anti").unionAll(once)
+        return unpacked(rows.join(gone, same, "left_anti"), "__row", docs.columns)
+    once = rows.join(again.join(gone, ["__id", "__tk"], "left_anti"), same, "left_semi")
+    once = once.groupBy("__doc", "__hash").agg(F.min_by("__row", F.to_json("__row")).alias("__row"))
+    return unpacked(rows.join(gone.unionAll(again), same, "left_anti").select("__row").unionAll(once.select("__row")), "__row", docs.columns)

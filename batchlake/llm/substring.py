@@ -10,7 +10,13 @@ Two kinds of units are looked for, in one pass over the texts:
 * pieces: a text's words cut at places that depend on the neighbouring words
   only (a pair of words whose hash is the least of `2 * REACH + 1`), so that a
   passage inside a longer paragraph is cut in the same places wherever it
-  stands. Their band is the hash of the whole piece, so what meets is equal.
+  stands. Their band is the hash of the whole piece; pieces are equal if a second,
+  independent hash of them agrees too (92 bits together).
+
+Before units are shuffled, each task settles what it holds alike: of equal units
+only the first goes to the others of its key, the further ones are known to be
+copies and only look up where the first of all is. So boilerplate that stands in a
+third of all documents brings one row a task to its key, not one a document.
 
 Of each component, and of each set of equal pieces, the first by (doc_id,
 text hash, place) stays. A paragraph that is not the first goes; pieces go where
@@ -21,7 +27,8 @@ Cases: a null doc_id or text is passed over (its row stays as it is); an empty
 text has no unit; repeated rows (same doc_id and text) count as one document and
 are treated alike; repeats within one document are found too; boilerplate
 shorter than `min_run` words stays; an empty table gives no rows; other columns
-are ignored. A text may have at most 2**31 characters.
+are ignored. A text may have at most 2**31 characters. doc_id is an integer, or can be
+cast to one; texts of one doc_id are told apart by 16 bits of their hash.
 """
 
 from __future__ import annotations
@@ -31,20 +38,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import words as tw
 from .components import components, local_labels
-from .durable import durable
+from .durable import durable, unpacked, whole_row
 
 REACH = 4
 SAME = 16
 MIN_PARAGRAPH, MIN_RUN, JACCARD, RECALL = 20, 20, 0.7, 0.96
 PIECE = 15  # in the lowest 4 bits of a key: the band, or this for a piece
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 1_000_000  # beyond, a shuffle join gives the same rows
+HELD_UNITS = 1 << 19  # of a task, before it settles them
+LATER, MORE = np.int64(-(1 << 63)), np.int64(1 << 31)  # in a span: not the first of its task's equal units; a first one that has such
 UNIT_SCHEMA = "key long, content long, doc_id long, pos long, span long"
 
 
-def tune(threshold: float, recall: float, hashes: int = 24, most_bands: int = 15) -> tuple[int, int]:
+def tune(threshold: float, recall: float, hashes: int = 24, most_bands: int = 14) -> tuple[int, int]:
     """(bands, rows): the widest bands with which pairs at the threshold meet with probability `recall`."""
     fits = [(b, r) for r in range(1, hashes + 1) for b in range(1, min(most_bands, hashes // r) + 1) if 1 - (1 - threshold**r) ** b >= recall]
     if not fits:
@@ -118,15 +128,39 @@ class _Places:
         doc = self.w.doc[start]
         at, n = tw.runs(doc)
         index = (np.arange(len(doc)) - np.repeat(at, n)).astype(np.uint64)
+        # of words it only matters whether `min_run` are together
         pos = self.salt[doc] | (index << np.uint64(16)) | np.minimum(end - start, 0xFFFF).astype(np.uint64)
         span = ((self.first[start] - self.zero[doc]) << 32) | (self.last[end - 1] - self.zero[doc])
         return _signed(pos), span
 
 
+def _settled(units: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """A task's units, of which those that have equals here are marked as LATER or as the first with MORE; of bands but 0 only firsts are needed."""
+    key, content, doc, pos, span = (np.concatenate(x) for x in zip(*units))
+    o = np.argsort(key, kind="stable")
+    _, n = tw.runs(key[o])
+    single = np.repeat(n == 1, n)
+    alone, o = o[single], o[~single]
+    o = o[np.lexsort((pos[o], doc[o], content[o], key[o]))]
+    k, c, d, p = key[o], content[o], doc[o], pos[o]
+    same = np.zeros(len(o), bool)
+    same[1:] = (k[1:] == k[:-1]) & (c[1:] == c[:-1])
+    row = np.ones(len(o), bool)  # rows of repeated documents count once
+    row[1:] = ~(same[1:] & (d[1:] == d[:-1]) & (p[1:] == p[:-1]))
+    o, k, same = o[row], k[row], same[row]
+    full = (k & 15 == PIECE) | (k & 15 == 0)
+    more = np.append(same[1:], False)[: len(o)] & ~same & full
+    span[o] |= np.where(same, LATER, np.where(more, MORE, 0))
+    o = np.concatenate([alone, o[full | ~same]])
+    return pa.RecordBatch.from_arrays([pa.array(x[o]) for x in (key, content, doc, pos, span)], ["key", "content", "doc_id", "pos", "span"])
+
+
 def _units(bands: int, rows: int, min_paragraph: int):
     odd = tw.mix(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
+    other = np.uint64(0xC2B2AE3D27D4EB4F)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         for b in batches:
             ids, tks = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("tk").to_numpy(zero_copy_only=False)
             for at, part in tw.slices(b.column("text")):
@@ -135,29 +169,32 @@ def _units(bands: int, rows: int, min_paragraph: int):
                     continue
                 places = _Places(w, tks[at : at + len(part)])
 
-                def rows_of(key: np.ndarray, content: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-                    pos, span = placed
-                    return pa.RecordBatch.from_arrays([pa.array(_signed(key)), pa.array(_signed(content)), pa.array(ids[at + w.doc[start]]), pa.array(pos), pa.array(span)], ["key", "content", "doc_id", "pos", "span"])
+                def hold(key: np.ndarray, content: np.ndarray) -> None:
+                    held.append((_signed(key), _signed(content), ids[at + w.doc[start]], *placed))
 
                 start = cuts(w)
                 end = np.append(start[1:], len(w.hash))
                 placed = places(start, end)
-                yield rows_of(tw.spans(w.hash, start, end) | np.uint64(15), np.zeros(len(start), np.uint64), start, end)
+                hold(tw.spans(w.hash, start, end) | np.uint64(15), tw.spans(tw.mix(w.hash ^ other), start, end) >> np.uint64(32))
                 start, end = lines(w)
                 placed = places(start, end)
                 long = end - start >= max(min_paragraph, 3)
-                if not long.any():
-                    continue
-                start, end, placed = start[long], end[long], tuple(x[long] for x in placed)
-                content = tw.spans(w.hash, start, end)
-                index, begin = _inside(start, end)
-                t = trigrams(w.hash)[index]
-                for band in range(bands):
-                    key = np.full(len(start), band, np.uint64)
-                    for r in range(rows):
-                        with np.errstate(over="ignore"):
-                            key = tw.combine(key, np.minimum.reduceat(t * odd[band * rows + r] >> np.uint64(20), begin))
-                    yield rows_of(key & ~np.uint64(15) | np.uint64(band), content, start, end)
+                if long.any():
+                    start, end, placed = start[long], end[long], tuple(x[long] for x in placed)
+                    content = tw.spans(w.hash, start, end)
+                    index, begin = _inside(start, end)
+                    t = trigrams(w.hash)[index]
+                    for band in range(bands):
+                        key = np.full(len(start), band, np.uint64)
+                        for r in range(rows):
+                            with np.errstate(over="ignore"):
+                                key = tw.combine(key, np.minimum.reduceat(t * odd[band * rows + r] >> np.uint64(20), begin))
+                        hold(key & ~np.uint64(15) | np.uint64(band), content)
+                if sum(len(x[0]) for x in held) >= HELD_UNITS:
+                    yield _settled(held)
+                    held.clear()
+        if held:
+            yield _settled(held)
 
     return run
 
@@ -166,41 +203,65 @@ MET_SCHEMA = "kind int, key long, content long, doc_id long, pos long, span long
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 1: a piece that is not the first; 0: each of equal paragraphs; 2: a paragraph of each content in a band where contents differ."""
-    got = [b for b in batches if b.num_rows]
+    """What units that meet in a key are.
+
+    kind 1: a piece that is not the first; 0: each of equal paragraphs; 2: a paragraph
+    of each content in a band where contents differ; 3: a piece of which its task had
+    an equal one before, so that it is not the first, passed on; 4: the first of the
+    pieces that such ones are equal to.
+    """
+    names = ["key", "content", "doc_id", "pos", "span"]
+
+    def out(kind: int, cols: list[np.ndarray], kept: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), kind, np.int32)), *(pa.array(x) for x in cols), pa.array(kept)], ["kind", *names, "kept_doc_id"])
+
+    got = []
+    for b in batches:
+        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in names]
+        later = cols[4] < 0
+        if later.any():
+            x = [c[later] for c in cols]
+            x[4] = x[4] & ~LATER
+            for kind, some in ((3, x[0] & 15 == PIECE), (0, x[0] & 15 == 0)):
+                if some.any():
+                    yield out(kind, [c[some] for c in x], x[2][some])
+            cols = [c[~later] for c in cols]
+        if len(cols[0]):
+            got.append(cols)
     if not got:
         return
-    names = ["key", "content", "doc_id", "pos", "span"]
-    key, content, doc, pos, span = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in got]) for c in names)
+    key, content, doc, pos, span = (np.concatenate(x) for x in zip(*got))
     del got
     o = np.argsort(key)
-    key = key[o]
-    at, n = tw.runs(key)
-    o = o[np.repeat(n > 1, n)]  # most keys are single
+    at, n = tw.runs(key[o])
+    o = o[np.repeat(n > 1, n) | (span[o] & MORE != 0)]  # most keys are single
     if len(o) == 0:
         return
-    o = o[np.lexsort((pos[o], doc[o], content[o], key_of := key[np.repeat(n > 1, n)]))]
-    key, content, doc, pos, span = np.sort(key_of), content[o], doc[o], pos[o], span[o]
+    o = o[np.lexsort((pos[o], doc[o], content[o], key[o]))]
+    key, content, doc, pos, more = key[o], content[o], doc[o], pos[o], span[o] & MORE != 0
+    span = span[o] & ~MORE
     new = np.ones(len(key), bool)  # rows of repeated documents count once
-    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])
+    new[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1]) | (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])
+    more = np.maximum.reduceat(more, np.flatnonzero(new))
     key, content, doc, pos, span = (x[new] for x in (key, content, doc, pos, span))
     at, n = tw.runs(key)
     group = np.repeat(np.arange(len(at)), n)
-    first_of_group = np.repeat(at, n)
     band = key & 15
     new_content = np.ones(len(key), bool)
     new_content[1:] = (group[1:] != group[:-1]) | (content[1:] != content[:-1])
     contents = np.add.reduceat(new_content.astype(np.int64), at)[group]
-    size = n[group]
-    start_content, length_content = tw.runs(np.cumsum(new_content))
-    copies = np.repeat(length_content, length_content)
+    begin = np.flatnonzero(new_content)
+    first = np.repeat(begin, np.diff(np.append(begin, len(key))))  # of the rows of a content in a key
+    copies = np.repeat(np.diff(np.append(begin, len(key))), np.diff(np.append(begin, len(key))))
+    known = np.maximum.reduceat(more, begin)[np.cumsum(new_content) - 1]
     for kind, rows in (
-        (1, np.flatnonzero((band == PIECE) & (np.arange(len(key)) > first_of_group))),
-        (0, np.flatnonzero((band == 0) & (copies > 1) & (size > 1))),
+        (1, np.flatnonzero((band == PIECE) & ~new_content)),
+        (4, np.flatnonzero((band == PIECE) & new_content & known)),
+        (0, np.flatnonzero((band == 0) & ((copies > 1) | more))),
         (2, np.flatnonzero((band != PIECE) & (contents > 1) & new_content)),
     ):
         if len(rows):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int32)), *(pa.array(x[rows]) for x in (key, content, doc, pos, span)), pa.array(doc[first_of_group[rows]])], ["kind", *names, "kept_doc_id"])
+            yield out(kind, [x[rows] for x in (key, content, doc, pos, span)], doc[first[rows]])
 
 
 def _shingles(min_paragraph: int):
@@ -302,7 +363,10 @@ def repeats(docs: DataFrame, jaccard: float = JACCARD, recall: float = RECALL, m
     """
     bands, rows = tune(jaccard, recall)
     known = _known(docs)
-    met = durable(known.mapInArrow(_units(bands, rows, min_paragraph), UNIT_SCHEMA).repartition("key").mapInArrow(_met, MET_SCHEMA))
+    units = known.mapInArrow(_units(bands, rows, min_paragraph), UNIT_SCHEMA)
+    # what is known to be a copy need not meet its equals
+    units = units.repartition(F.when(F.col("span") < 0, F.xxhash64("doc_id", "pos")).otherwise(F.col("key")))
+    met = durable(units.mapInArrow(_met, MET_SCHEMA))
     differ = met.filter("kind = 2")
     need = differ.groupBy("doc_id", F.shiftright("pos", 48).alias("salt")).agg(F.collect_list(F.struct("key", "content")).alias("need"))
     need = durable(need.withColumnsRenamed({"doc_id": "__id", "salt": "__salt"}))
@@ -312,13 +376,19 @@ def repeats(docs: DataFrame, jaccard: float = JACCARD, recall: float = RECALL, m
     joined = known.join(need, (F.col("doc_id") == F.col("__id")) & (F.expr("shiftright(shiftleft(tk, 48), 48)") == F.col("__salt"))).select("text", "need")
     edges = joined.mapInArrow(_shingles(min_paragraph), "key long, content long, set binary").repartition("key").mapInArrow(_similar(jaccard), "a long, b long")
     comp = components(edges)
-    member = met.filter("kind <> 1").select("content", "doc_id", "pos", "span").distinct()
+    member = met.filter("kind in (0, 2)").select("content", "doc_id", "pos", "span").distinct()
     member = member.join(comp, F.col("content") == F.col("node"), "left").withColumn("g", F.coalesce("component", "content"))
     w = Window.partitionBy("g").orderBy("doc_id", "pos")
     later = member.withColumns({"r": F.row_number().over(w), "kept_doc_id": F.first("doc_id").over(w)}).filter("r > 1")
     salt, start, end = F.shiftright("pos", 48), F.shiftright("span", 32), F.expr("span & 4294967295")
     later = later.select("doc_id", salt.alias("salt"), start.alias("start"), end.alias("end"), "kept_doc_id")
-    piece = met.filter("kind = 1").select("doc_id", salt.alias("salt"), F.expr("shiftright(pos, 16) & 4294967295").alias("i"), F.expr("pos & 65535").alias("n"), start.alias("start"), end.alias("end"), "kept_doc_id")
+    place = ["doc_id", "pos", "span", "kept_doc_id"]
+    first = met.filter("kind = 4").select("key", "content", F.col("doc_id").alias("__doc"), F.col("pos").alias("__pos"))
+    copy = met.filter("kind = 3").select("key", "content", "doc_id", "pos", "span").join(first, ["key", "content"])
+    copy = copy.filter("not (doc_id = __doc and pos = __pos)").withColumn("kept_doc_id", F.col("__doc")).select(place)  # a row of the table may be there twice
+    piece = met.filter("kind = 1").select(place).unionAll(copy).withColumn("salt", salt).repartition("doc_id", "salt")
+    piece = piece.groupBy("doc_id", "salt", "pos").agg(F.min("span").alias("span"), F.min("kept_doc_id").alias("kept_doc_id"))
+    piece = piece.select("doc_id", "salt", F.expr("shiftright(pos, 16) & 4294967295").alias("i"), F.expr("pos & 65535").alias("n"), start.alias("start"), end.alias("end"), "kept_doc_id")
     one = Window.partitionBy("doc_id", "salt")
     run = piece.withColumn("run", F.col("i") - F.row_number().over(one.orderBy("i"))).groupBy("doc_id", "salt", "run").agg(F.sum("n").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("kept_doc_id").alias("kept_doc_id"))
     spans = later.unionAll(run.filter(F.col("n") >= min_run).select("doc_id", "salt", "start", "end", "kept_doc_id"))
@@ -340,22 +410,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts.append(text[at:])
                 text = "".join(parts).strip()
             out.append(text)
-        yield pa.RecordBatch.from_arrays([b.column("__row"), pa.array(out, pa.string()), pa.array([bool(x) for x in b.column("__spans").to_pylist()])], ["__row", "__text", "__cut"])
+        yield pa.RecordBatch.from_arrays([b.column("__row"), pa.array(out, pa.string())], ["__row", "__text"])
 
 
 def remove_repeats(docs: DataFrame, **how: float) -> DataFrame:
     """docs with the spans of repeats() cut out and `n_chars`, if there is one, counted anew.
 
-    A document of which no letter or digit is left is dropped. Columns are those of docs.
+    A document of which no letter or digit is left is dropped. Columns are those of
+    docs, whatever their names; repeated rows are treated alike; null texts and doc_ids
+    stay as they are; an empty table gives no rows.
     """
     spans = repeats(docs, **how).groupBy("doc_id", "salt").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
     spans = durable(spans.withColumnsRenamed({"doc_id": "__id", "salt": "__salt"}))
     few = spans.count() <= BROADCAST_ROWS // 20
-    d = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col("doc_id").cast("long").alias("__doc"), F.col("text").alias("__text"))
+    d = docs.select(whole_row(docs).alias("__row"), F.col("doc_id").cast("long").alias("__doc"), F.col("text").alias("__text"))
     d = d.join(F.broadcast(spans) if few else spans, (F.col("__doc") == F.col("__id")) & (F.expr("shiftright(shiftleft(xxhash64(__text), 48), 48)") == F.col("__salt")), "left")
-    same = d.filter("__spans is null").select([F.col("__row").getField(c).alias(c) for c in docs.columns])
+    same = unpacked(d.filter("__spans is null"), "__row", docs.columns)
     d = d.filter("__spans is not null").select("__row", "__text", "__spans")
-    row = d.schema["__row"].dataType.simpleString()
-    cut = d.mapInArrow(_cut, f"__row {row}, __text string, __cut boolean").filter(F.col("__text").rlike(r"[\p{L}\p{N}]"))
+    cut = d.mapInArrow(_cut, StructType([d.schema["__row"], StructField("__text", StringType())])).filter(F.col("__text").rlike(r"[\p{L}\p{N}]"))
     value = {"text": F.col("__text"), "n_chars": F.length("__text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return same.unionAll(cut.select([value[c].alias(c) if c in value else F.col("__row").getField(c).alias(c) for c in docs.columns]))

@@ -1,18 +1,22 @@
 """Operator 3: toxic documents by weak supervision.
 
 Many voters look at each document and hit or stay silent: fixed lexicons (insults,
-contempt, slurs on worth, threats), lexicons that are found in a bounded labelled
-sample (words and word beginnings that occur in toxic documents only, more often
-than chance allows, dealt out to several voters), and patterns (an insult next to
-`you` or `your`, masked words, shouting). A generative label model - the voters'
-hit rates in either class, and the correlations of voters within a class - is
-estimated by EM from the counts of all vote patterns of the whole table, without
-labels. A linear classifier on text features and votes is then trained on the
-model's posteriors of the labelled sample, and scores every document.
-
-Cases: without labels only the fixed lexicons and patterns vote; a null text is
-an empty one, without hits; repeated rows and null doc_ids are scored each; an
-empty table gives no rows; other columns are ignored.
+contempt, slurs on worth, threats), found lexicons (words and word beginnings that
+occur in toxic documents nearly only, and more often than chance allows, in a bounded
+sample of the labelled rows, dealt out to several voters: each is a small classifier
+fitted on that sample), and patterns (an insult next to `you` or `your`, masked words,
+shouting). A generative label model - the voters' hit rates in either class, and the
+correlations of voters within a class - is estimated by EM from the counts of all vote
+patterns of the whole table. It sees no label: lexicons are believed at the start,
+patterns are not, and the share of toxic documents is anchored in the share of
+documents that any lexicon hits. A linear classifier on text features and votes is
+then trained on the model's posteriors of the labelled sample, and scores every document.
+
+Cases: without labels only the fixed lexicons and patterns vote, and the classifier is
+trained on vote patterns; where no lexicon hits, nothing is toxic; a null text is
+an empty one, without hits; repeated rows and null doc_ids are scored each; of several
+labels of a doc_id the greatest counts; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 from . import linear, words as tw
 from .durable import durable
@@ -34,72 +39,80 @@ LEXICONS: dict[str, str] = {
     "threat": "kill die hate destroy murder hurt töten hassen tuer haïr matar odiar",
 }
 PERSON = "you your youre du dein ihr tu vous votre tú eres usted"
-FOUND_WORDS, FOUND_BEGINNINGS = 8, 4
+FOUND, CUT = 8, 0.3
+PATTERNS = ("person_insult", "masked", "shouting")
 #: name of each voter, its bit is its place
-VOTERS = [*LEXICONS, "person_insult", "masked", "shouting", *(f"found_word_{k}" for k in range(FOUND_WORDS)), *(f"found_beginning_{k}" for k in range(FOUND_BEGINNINGS))]
+VOTERS = [*LEXICONS, *PATTERNS, *(f"found_{k}" for k in range(FOUND))]
+#: The voters that are believed at the start.
+LEXICAL = sum(1 << k for k, name in enumerate(VOTERS) if name not in PATTERNS)
 #: A lexicon word that is also in common use only counts together with others.
 WEAK = {"die", "pig", "pigs", "rat", "rats", "fool", "du", "hate", "kill", "hurt", "destroy"}
-VOTE_SLOTS = 64  # of the classifier's features, after the hashed ones
-BITS = linear.BITS
 
 
 def _hashes(words: str) -> np.ndarray:
     return np.unique(np.array([tw.word_hash(w) for w in words.split()], np.uint64))
 
 
-def found_lexicon(texts: pa.ChunkedArray, y: np.ndarray, kinds: str, precision: float = 0.95) -> np.ndarray:
-    """Ids (upper 48 bits of the hash) of words or beginnings that occur in toxic documents of the sample beyond chance.
+def bits(votes: np.ndarray) -> np.ndarray:
+    """(votes, voters) of 0 and 1."""
+    return ((votes[:, None] >> np.arange(len(VOTERS))) & 1).astype(float)
 
-    An id qualifies if at least `precision` of its documents are toxic and their
-    number is so large that, among all ids, less than 0.1 would get there by chance.
+
+def found_lexicon(texts: pa.ChunkedArray, y: np.ndarray, precision: float = 0.9, significant: float = 20.0) -> np.ndarray:
+    """Hashes of words and beginnings that occur in toxic documents of the sample beyond chance.
+
+    One qualifies if it is in at least 3 documents, at least `precision` of these are toxic, and
+    the likelihood ratio of its share in toxic documents and in others is significant; a
+    beginning also needs 3 different words, as it stands for a stem.
     """
-    keys, base = [np.zeros((0, 2), np.uint64)], 0
+    docs, pairs, base = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint64)], 0
     for _, part in tw.slices(texts):
-        doc, h = tw.distinct(*linear.ids(tw.words(part), kinds))
-        keys.append(np.stack([h, y[base + doc].astype(np.uint64)], axis=1))
+        w = tw.words(part)
+        for at, h in linear.each(w, KINDS):
+            docs.append(w.doc[at] + base)
+            pairs.append(np.stack([h, w.hash[at]], axis=1))
         base += len(part)
-    k = np.concatenate(keys)
-    if len(k) == 0 or not 0 < (rate := float(np.mean(y))) < 1:
+    doc, pair = np.concatenate(docs), np.concatenate(pairs)
+    if len(pair) == 0 or not 0 < (rate := float(np.mean(y))) < 1:
         return np.zeros(0, np.uint64)
-    ids, inverse, n = np.unique(k[:, 0], return_inverse=True, return_counts=True)
-    toxic = np.bincount(inverse, k[:, 1].astype(float))
-    often = n >= 3
-    need = np.log(10 * max(1, int(often.sum()))) / -np.log(rate)
-    return ids[often & (toxic >= precision * n) & (toxic >= need)]
+    known, entry = np.unique(pair[:, 0], return_inverse=True)
+    whole = np.zeros(len(known), bool)
+    whole[entry[pair[:, 0] == pair[:, 1]]] = True
+    in_toxic = y[doc] > 0
+    words = np.unique(np.stack([entry[in_toxic].astype(np.uint64), pair[in_toxic, 1]], axis=1), axis=0)
+    words = np.bincount(words[:, 0].astype(np.int64), minlength=len(known))
+    once = np.unique(entry.astype(np.int64) * base + doc)
+    n, toxic = np.bincount(once // base, minlength=len(known)), np.bincount(once // base, y[once % base].astype(float), len(known))
+    statistic, _ = linear.ratios(np.stack([n - toxic, toxic]), np.array([1 - rate, rate]) * len(y))
+    return known[(n >= 3) & (toxic >= precision * n) & (statistic[1] > significant) & (whole | (words >= 3))]
 
 
 class Voters:
     """All voters, as one pass over a slice of texts."""
 
-    def __init__(self, found_words: np.ndarray, found_beginnings: np.ndarray) -> None:
-        strong = {name: " ".join(w for w in ws.split() if w not in WEAK) for name, ws in LEXICONS.items()}
-        self.lexicons = [_hashes(ws) for ws in strong.values()]
-        self.insults = _hashes(" ".join(LEXICONS.values()))
-        self.person = _hashes(PERSON)
-        self.found = [(found_words, FOUND_WORDS, len(LEXICONS) + 3, "u"), (found_beginnings, FOUND_BEGINNINGS, len(LEXICONS) + 3 + FOUND_WORDS, "p")]
+    def __init__(self, found: np.ndarray) -> None:
+        own = [_hashes(" ".join(w for w in ws.split() if w not in WEAK)) for ws in LEXICONS.values()]
+        every, person = _hashes(" ".join(LEXICONS.values())), _hashes(PERSON)
+        self.words = tw.Lookup(np.concatenate([every, person]))
+        self.bit = sum(np.where(np.isin(self.words.members, h), 1 << k, 0) for k, h in enumerate(own))
+        self.insult, self.person = np.isin(self.words.members, every), np.isin(self.words.members, person)
+        self.found = tw.Lookup(found)
 
     def __call__(self, part: pa.Array, w: tw.Words) -> np.ndarray:
         votes = np.zeros(w.docs, np.int64)
-
-        def hit(bit: int, docs: np.ndarray) -> None:
-            votes[np.unique(docs)] |= 1 << bit
-
-        for k, lexicon in enumerate(self.lexicons):
-            hit(k, w.doc[np.isin(w.hash, lexicon)])
-        k = len(self.lexicons)
-        if len(w.hash) > 1:
-            insult, person = np.isin(w.hash, self.insults), np.isin(w.hash, self.person)
-            same = w.doc[1:] == w.doc[:-1]
-            hit(k, w.doc[1:][same & ((insult[1:] & person[:-1]) | (insult[:-1] & person[1:]))])
-        hit(k + 1, self._masked(part))
-        hit(k + 2, self._shouting(part))
-        for found, voters, bit, kinds in self.found:
-            if len(found):
-                doc, h = tw.distinct(*linear.ids(w, kinds))
-                at = np.minimum(np.searchsorted(found, h), len(found) - 1)
-                ok = found[at] == h
-                for v in range(voters):
-                    hit(bit + v, doc[ok][h[ok] % np.uint64(voters) == v])
+        at, word = self.words(w.hash)
+        np.bitwise_or.at(votes, w.doc[at], self.bit[word])
+        k = len(LEXICONS)
+        if len(at) > 1:
+            next_ = (at[1:] == at[:-1] + 1) & (w.doc[at[1:]] == w.doc[at[:-1]])
+            a, b = word[:-1], word[1:]
+            votes[w.doc[at[1:]][next_ & ((self.insult[a] & self.person[b]) | (self.person[a] & self.insult[b]))]] |= 1 << k
+        votes[self._masked(part)] |= 1 << k + 1
+        votes[self._shouting(part)] |= 1 << k + 2
+        if len(self.found.members):
+            for place, h in linear.each(w, KINDS):
+                at, which = self.found(h)
+                np.bitwise_or.at(votes, w.doc[place[at]], np.int64(1) << (k + len(PATTERNS) + (self.found.members[which] % np.uint64(FOUND)).astype(np.int64)))
         return votes
 
     @staticmethod
@@ -127,159 +140,109 @@ class Voters:
         return np.flatnonzero((upper + lower >= 40) & (upper > 0.8 * (upper + lower)) & (count(bang) > 0))
 
 
-def label_model(patterns: np.ndarray, counts: np.ndarray, voters: int, start: np.ndarray | None = None, labelled: np.ndarray | None = None, rounds: int = 80) -> dict:
-    """The generative model of vote patterns, by EM.
+def label_model(patterns: np.ndarray, counts: np.ndarray, voters: int, lexical: int, rounds: int = 300) -> dict:
+    """The generative model of vote patterns, by EM without labels.
 
-    patterns: distinct bitmasks; counts: how many documents have each; start: first
-    guess of each pattern's posterior; labelled: (2, patterns) counts of labelled documents by
-    class, which weigh as much as all documents together (else chance meetings of
-    weak voters could make a class of their own). In class c voter j hits with probability
-    rate[c, j]; that all are silent is a vote of its own. A hit tells
-    log(rate[1, j] / rate[0, j]), divided by 1 + the correlations, within a class, of j
-    with the other voters that hit too, as correlated voters repeat each other. Rates
-    and correlations are estimated anew each round from the counts.
-    Returns prior, rate (2 x voters + 1, silence last), correlation (voters x voters) and posterior of each pattern.
+    patterns: distinct bitmasks; counts: how many documents have each; lexical: mask of
+    the voters that are believed at the start. In class c voter j hits with probability
+    rate[c, j]. A vote (a hit or a miss) tells the logarithm of its probabilities' ratio,
+    divided by 1 + the correlations, within a class, of j with the other voters that
+    vote alike, as correlated voters repeat each other. Rates and correlations are
+    estimated anew each round from the counts, with the mean of the posterior and the
+    belief of the start, as one class is not told from the other by few voters, or by
+    ones that repeat each other, alone; the share of class 1 is held at `balance`, the
+    share of documents with a lexical hit (half of them at most).
+    Returns balance, rate (2 x voters), correlation (voters x voters) and posterior of each pattern.
     """
     m = ((patterns[:, None] >> np.arange(voters)) & 1).astype(float)
-    full = np.column_stack([m, m.sum(1) == 0])
-    n = counts.astype(float)
-    post = np.where(m[:, : len(LEXICONS)].any(1), 0.9, np.where(m.any(1), 0.3, 0.01)) if start is None else start
-    known = np.zeros((2, len(n))) if labelled is None else labelled.astype(float)
-    n *= max(known.sum(), 1.0) / n.sum() if known.sum() else 1.0
-    prior, rate, corr = 0.1, np.zeros((2, voters + 1)), np.zeros((voters, voters))
+    n, hit = counts.astype(float), (patterns & lexical) != 0
+    balance = min(float(n[hit].sum() / max(n.sum(), 1.0)), 0.5)
+    belief = np.where(hit, 0.9, 0.01)
+    post, rate, corr = belief, np.zeros((2, voters)), np.zeros((voters, voters))
+    if balance == 0:
+        return {"balance": 0.0, "rate": rate, "correlation": corr, "posterior": np.zeros(len(n))}
     for _ in range(rounds):
-        prior = float(np.clip(((n * post).sum() + known[1].sum()) / (n.sum() + known.sum()), 1e-4, 0.5))
         corr = np.zeros((voters, voters))
-        for c, p in enumerate((1 - post, post)):
-            p = n * p + known[c]
+        mean = (post + belief) / 2
+        for c, p in enumerate((n * (1 - mean), n * mean)):
             mass = p.sum()
-            rate[c] = (p @ full + 0.01) / (mass + 0.02)
-            d = m - rate[c][:voters]
+            rate[c] = (p @ m + 1e-3) / (mass + 2e-3)
+            d = m - rate[c]
             cov = (d * p[:, None]).T @ d / max(mass, 1.0)
-            sd = np.sqrt(np.maximum(np.diag(cov), 1e-6))
-            corr = np.maximum(corr, cov / np.outer(sd, sd))
+            sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+            seen = rate[c] * mass >= 5  # rarer voters' correlations are chance
+            corr = np.maximum(corr, np.where(np.outer(seen, seen), cov / np.outer(sd, sd), 0))
         corr = np.where(corr > 0.05, np.minimum(corr, 1.0), 0.0) * (1 - np.eye(voters))
-        tells = np.log(rate[1] / rate[0])
-        logit = np.log(prior / (1 - prior)) + (m / (1 + m @ corr)) @ tells[:voters] + full[:, -1] * tells[-1]
-        new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        tells = (m / (1 + m @ corr)) @ np.log(rate[1] / rate[0]) + ((1 - m) / (1 + (1 - m) @ corr)) @ np.log((1 - rate[1]) / (1 - rate[0]))
+        low, high = -60.0, 60.0
+        for _ in range(60):  # the logit at which the mean posterior is the balance
+            logit = (low + high) / 2
+            new = 1 / (1 + np.exp(-np.clip(tells + logit, -40, 40)))
+            low, high = (low, logit) if n @ new > balance * n.sum() else (logit, high)
         done = np.abs(new - post).max() < 1e-6
         post = new
         if done:
             break
-    return {"prior": prior, "rate": rate, "correlation": corr, "posterior": post}
-
-
-def first_guess(patterns: np.ndarray, votes: np.ndarray, truth: np.ndarray) -> np.ndarray | None:
-    """For each pattern the labelled sample's toxic share among documents with any of its hits, the voters' best one; None without both classes."""
-    if not 0 < truth.sum() < len(truth):
-        return None
-    base = truth.mean()
-    guess = np.full(len(patterns), base)
-    for j in range(len(VOTERS)):
-        hit = votes >> j & 1 == 1
-        share = (truth[hit].sum() + base) / (hit.sum() + 1)
-        with_j = patterns >> j & 1 == 1
-        guess[with_j] = np.maximum(guess[with_j], share)
-    silent = votes == 0
-    guess[patterns == 0] = (truth[silent].sum() + base) / (silent.sum() + 1)
-    return np.clip(guess, 0.001, 0.999)
-
-
-def _vote_pass(voters: Voters, keep: list[str]):
+    return {"balance": balance, "rate": rate, "correlation": corr, "posterior": post}
+
+
+def _vote_pass(voters: Voters):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, part in tw.slices(b.column("text")):
-                votes = voters(part, tw.words(part))
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, len(part)) for c in keep), pa.array(votes)], [*keep, "votes"])
+            for _, part in tw.slices(b.column("text")):
+                votes, n = np.unique(voters(part, tw.words(part)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(votes), pa.array(n)], ["votes", "n"])
 
     return run
 
 
-def _votes(voters: Voters, texts: pa.ChunkedArray) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int64), *(voters(part, tw.words(part)) for _, part in tw.slices(texts))])
-
-
-def build_voters(docs: DataFrame, labels: DataFrame, fit_rows: int) -> tuple[Voters, pa.ChunkedArray, np.ndarray, np.ndarray]:
-    """Voters, with lexicons found in at most `fit_rows` labelled documents; these documents' texts, votes and labels."""
-    y = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    got = linear.sample(docs, y, fit_rows)
-    truth = (got.column("y").to_numpy() > 0).astype(np.int64)
-    voters = Voters(found_lexicon(got.column("text"), truth, "u"), found_lexicon(got.column("text"), truth, "p"))
-    return voters, got.column("text"), _votes(voters, got.column("text")), truth
-
-
-def _with_votes(ptr: np.ndarray, slot: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of indicators with the votes added, as slots from 2**BITS on."""
-    row = np.repeat(np.arange(len(votes), dtype=np.int32), np.diff(ptr))
-    bits = ((votes[:, None] >> np.arange(len(VOTERS))) & 1).astype(bool)
-    r, k = np.nonzero(bits)
-    row, slot = np.append(row, r).astype(np.int32), np.append(slot, (1 << BITS) + k).astype(np.int32)
-    o = np.argsort(row, kind="stable").astype(np.int32)
-    return np.searchsorted(row[o], np.arange(len(votes) + 1)), slot[o]
-
-
-class Classifier:
-    """Logistic score of text features (over the root of their number) and votes (as they are)."""
-
-    def __init__(self, text: linear.Model, votes: np.ndarray) -> None:
-        self.text, self.votes = text, votes
+def train(texts: pa.ChunkedArray, votes: np.ndarray, posterior: np.ndarray, patterns: np.ndarray, counts: np.ndarray, share: np.ndarray) -> linear.Chosen:
+    """The linear classifier, trained on posterior labels: of the labelled rows (texts, votes, posterior), or of all vote patterns where there are none.
 
-    def scores(self, w: tw.Words, votes: np.ndarray) -> np.ndarray:
-        s = self.text.scores(w)
-        return (s[:, 1] - s[:, 0]) + ((votes[:, None] >> np.arange(len(VOTERS))) & 1) @ self.votes
-
-
-def train(texts: pa.ChunkedArray, votes: np.ndarray, posterior: np.ndarray, steps: int = 120) -> Classifier:
-    """The linear classifier, trained on posterior labels."""
-    target = np.stack([1 - posterior, posterior], axis=1)
-    ptr, slot = linear.matrix(texts, BITS, KINDS)
-    ptr2, slot2 = _with_votes(ptr, slot, votes)
-    n = np.sqrt(np.maximum(np.diff(ptr), 1))
-    row = np.repeat(np.arange(len(votes)), np.diff(ptr2))
-    value = np.where(slot2 < 1 << BITS, 1 / n[row], 1.0)
-    model = linear.fit_softmax(ptr2, slot2, target, BITS + 1, KINDS, steps=steps, value=value)
-    weight = model.weight[: 1 << BITS]
-    v = model.weight[1 << BITS : (1 << BITS) + len(VOTERS)]
-    return Classifier(linear.Model(weight, model.bias, KINDS), (v[:, 1] - v[:, 0]).astype(float))
+    The labelled rows may hold another share of toxic documents than the table, so each
+    weighs as much as its vote pattern is more frequent in the table than among them.
+    """
+    both = lambda p: np.stack([1 - p, p], axis=1)
+    if not len(votes):
+        row, slot = np.nonzero(bits(patterns))
+        ptr = np.searchsorted(row, np.arange(len(patterns) + 1))
+        m = linear.fit_softmax(ptr, slot.astype(np.int32), both(share), len(VOTERS).bit_length(), KINDS, steps=300, value=np.ones(len(slot)), times=counts.astype(float))
+        return linear.Chosen(np.zeros(0, np.int64), np.zeros((0, 2)), m.bias, KINDS, m.weight[: len(VOTERS)].astype(float))
+    at = np.searchsorted(patterns, votes)
+    return linear.fit_chosen(texts, both(posterior), KINDS, bits(votes), times=counts[at] / np.bincount(at, minlength=len(patterns))[at])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = linear.FIT_ROWS) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = linear.FIT_ROWS, cut: float = CUT) -> DataFrame:
     """(doc_id, votes, posterior, score, toxic) for each row of docs.
 
     votes: bitmask of VOTERS that hit; posterior: the label model's probability;
-    score: the classifier's probability; toxic: score > 0.5. `fit_rows` bounds the
-    labelled sample that lexicons are found in and the classifier is trained on
-    (without labels, documents taken by the hash of their id).
+    score: the classifier's probability; toxic: score > `cut`, which is below 0.5 as
+    posteriors of documents with few hits are. `fit_rows` bounds the
+    labelled rows that lexicons are found in and the classifier is trained on.
     """
     d = docs.select("doc_id", "text")
-    voters, texts, seen, truth = build_voters(d, labels, fit_rows)
-    kind = d.schema["doc_id"].dataType.simpleString()
-    voted = durable(d.mapInArrow(_vote_pass(voters, ["doc_id"]), f"doc_id {kind}, votes long").groupBy("votes").agg(F.count("*").alias("n")))
-    got = voted.toArrow()  # at most 2**len(VOTERS) rows whatever the table's size
-    patterns, counts = got.column("votes").to_numpy(), got.column("n").to_numpy()
-    order = np.argsort(patterns)
-    patterns, counts = patterns[order], counts[order]
-    known = np.stack([np.bincount(np.searchsorted(patterns, seen[truth == c]), minlength=len(patterns)) for c in (0, 1)])
-    model = label_model(patterns, counts, len(VOTERS), first_guess(patterns, seen, truth), known) if len(patterns) else {"posterior": np.zeros(0)}
-    posterior = model["posterior"]
-    if not len(seen):
-        texts = linear.sample(d, None, fit_rows).column("text")
-        seen = _votes(voters, texts)
-    taught = posterior[np.searchsorted(patterns, seen)]
-    classifier = train(texts, seen, taught)
-    if len(seen):
-        # the labelled rows may hold another share of toxic documents than the table
-        logit = lambda x: np.log(x / (1 - x))
-        share = lambda x: np.clip(x, 1e-9, 1 - 1e-9)
-        classifier.text.bias[1] += logit(share(counts @ posterior / counts.sum())) - logit(share(taught.mean()))
+    y = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("y"))
+    got = linear.sample(d, y, fit_rows)
+    texts = got.column("text")
+    voters = Voters(found_lexicon(texts, (got.column("y").to_numpy() > 0).astype(np.int64)))
+    seen = np.concatenate([np.zeros(0, np.int64), *(voters(part, tw.words(part)) for _, part in tw.slices(texts))])
+    voted = durable(d.select("text").mapInArrow(_vote_pass(voters), "votes long, n long").groupBy("votes").agg(F.sum("n").alias("n")))
+    counted = voted.orderBy("votes").toArrow()  # at most 2**len(VOTERS) rows whatever the table's size
+    patterns, counts = counted.column("votes").to_numpy(), counted.column("n").to_numpy()
+    if not len(patterns):
+        patterns, counts = np.zeros(1, np.int64), np.ones(1, np.int64)
+    posterior = label_model(patterns, counts, len(VOTERS), LEXICAL)["posterior"]
+    # a row that was drawn is a row of the table, so its pattern is known
+    classifier = train(texts, seen, posterior[np.searchsorted(patterns, seen)] if len(seen) else np.zeros(0), patterns, counts, posterior)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, part in tw.slices(b.column("text")):
                 w = tw.words(part)
                 votes = voters(part, w)
-                p = posterior[np.searchsorted(patterns, votes)]
-                s = 1 / (1 + np.exp(-np.clip(classifier.scores(w, votes), -40, 40)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(part)), pa.array(votes), pa.array(p), pa.array(s), pa.array(s > 0.5)], ["doc_id", "votes", "posterior", "score", "toxic"])
+                s = classifier.scores(w, bits(votes))
+                s = 1 / (1 + np.exp(-np.clip(s[:, 1] - s[:, 0], -40, 40)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, len(part)), pa.array(votes), pa.array(posterior[np.searchsorted(patterns, votes)]), pa.array(s), pa.array(s > cut)], ["doc_id", "votes", "posterior", "score", "toxic"])
 
-    return d.mapInArrow(run, f"doc_id {kind}, votes long, posterior double, score double, toxic boolean")
+    kinds = {"votes": LongType(), "posterior": DoubleType(), "score": DoubleType(), "toxic": BooleanType()}
+    return d.mapInArrow(run, StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *(StructField(c, t) for c, t in kinds.items())]))

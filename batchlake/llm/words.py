@@ -2,7 +2,8 @@
 
 One Arrow array of texts is cut into slices of a few MB; in each slice all
 words are found and hashed with a handful of numpy passes over the bytes, so
-the cost is some nanoseconds a byte and no Python object is made per word.
+the cost is some nanoseconds a byte and no Python object is made per word. A text
+longer than a slice is a slice of its own, whose hashes are summed chunk by chunk.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 21
 SLICE_DOCS = 1 << 15
+CHUNK = 1 << 22
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -44,24 +46,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = 1 << max(22, (n - 1).bit_length())
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, as many as a chunk has places."""
+    if not _powers:
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, base & _MASK, np.uint64)
+            p = np.full(CHUNK + 1, base & _MASK, np.uint64)
             p[0] = 1
             _powers[name] = np.multiply.accumulate(p)
     return _powers["up"], _powers["down"]
 
 
+def _rolled(values: np.ndarray, start: np.ndarray, end: np.ndarray, add: int = 0) -> np.ndarray:
+    """Sum of (values[i] + add) * base**(i - start) over each of the ascending ranges, which don't overlap.
+
+    Running sums are held for one chunk at a time, so a very long text needs little more than its bytes.
+    """
+    up, down = _tables()
+    out = np.zeros(len(start), np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(values), CHUNK):
+            to = min(at + CHUNK, len(values))
+            v = values[at:to].astype(np.uint64)
+            if add:
+                v += np.uint64(add)
+            v *= up[: to - at]
+            sums = np.empty(to - at + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum(v, out=sums[1:])
+            i, j = np.searchsorted(end, at, "right"), np.searchsorted(start, to, "left")
+            s, e = np.maximum(start[i:j], at) - at, np.minimum(end[i:j], to) - at
+            part = (sums[e] - sums[s]) * down[s]
+            if i < j and start[i] < at:  # it began in a chunk before
+                part[0] *= np.uint64(pow(_BASE, int(at - start[i]), 1 << 64))
+            out[i:j] += part
+    return out
+
+
 def spans(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of each sequence h[start:end]."""
-    up, down = _tables(len(h) + 1)
+    """A hash of each sequence h[start:end]; the ranges are ascending and don't overlap."""
     with np.errstate(over="ignore"):
-        sums = np.empty(len(h) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(h * up[: len(h)], out=sums[1:])
-        return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+        return mix(_rolled(h, start, end) + (end - start).astype(np.uint64))
 
 
 class Words(NamedTuple):
@@ -120,12 +144,8 @@ def words(part: pa.Array, lower: bool | str = True, inside: np.ndarray = ALNUM)
     first[begins] = isw[begins]
     last[begins[1:] - 1] = isw[begins[1:] - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _tables(len(data) + 1)
     with np.errstate(over="ignore"):
-        sums = np.empty(len(data) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-        h = (sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)
+        h = _rolled(data, start, end, 1) + (end - start).astype(np.uint64)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(start, off)))
     return Words(doc, start, end, mix(h), off, data)
 
@@ -136,6 +156,24 @@ def word_hash(word: str) -> int:
     return int(w.hash[0]) if len(w.hash) else 0
 
 
+class Lookup:
+    """Which of many hashes are in a set, and their place in it: a table of the upper bits settles nearly all at once."""
+
+    def __init__(self, members: np.ndarray) -> None:
+        self.members = np.unique(members.astype(np.uint64))
+        self._may = np.zeros(1 << 16, bool)
+        self._may[(self.members >> np.uint64(48)).astype(np.int64)] = True
+
+    def __call__(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(indices of hashes that are members, their places among the sorted members)."""
+        i = np.flatnonzero(self._may[(hashes >> np.uint64(48)).astype(np.int64)])
+        if not len(self.members) or not len(i):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        place = np.minimum(np.searchsorted(self.members, hashes[i]), len(self.members) - 1)
+        ok = self.members[place] == hashes[i]
+        return i[ok], place[ok]
+
+
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of ordered pairs of hashes."""
     with np.errstate(over="ignore"):

@@ -138,13 +138,24 @@ def test_repeated_lines_are_rejected_and_ablated(spark):
     rows = [(1, "the same line\n" * 9), (2, "\n".join(f"line {'abcdefghi'[k]} of nine" for k in range(9)))]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.quality_rules(spark, d, SF).collect()] == [2]
-    got = {(r.policy, r.rule): r for r in quality.ablation_of_rules(quality.ledger(d)).collect()}
+    got = {(r.policy, r.rule): r for r in quality.ablation(quality.ledger(d)).collect()}
     assert set(got) == {(v, r) for v in ("v1", "v2", "v3") for r in quality.RULES}
     r, unused = got["v3", "duplicate_lines"], got["v2", "duplicate_lines"]
     assert r.used and (r.failed, r.only_this, r.kept, r.kept_without, r.kept_with) == (1, 1, 1, 2, 1)
     assert not unused.used and (unused.failed, unused.only_this, unused.kept, unused.kept_without, unused.kept_with) == (1, 0, 2, 2, 1)
 
 
+def test_bins_keep_texts_as_they_are(spark):
+    texts = {1: "  two\tblanks  before\n\n" * 40 + "end \n", 2: "one\ntwo", 3: "w\n" * 130, 4: "\tonly " * 64}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    where = {(r.doc_id, r.piece): (r.shard, r["class"], r.bin, r.slot) for r in packing.pack(d, 64).collect()}
+    bins = {(r.shard, r["class"], r.bin): r.text.split("\f") for r in packing.packed_bins(d, 64).collect()}
+    for i, t in texts.items():
+        pieces = [bins[where[i, k][:3]][where[i, k][3]] for k in range(sum(x[0] == i for x in where))]
+        assert "".join(pieces) == t
+    assert packing.packed_bins(d.filter("false")).count() == 0
+
+
 def test_bins_hold_whole_texts(edge):
     d = edge[0]
     bins = packing.packed_bins(d, 64).collect()
