@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..operators.rowindex import spread, with_offsets
+
 SPACE = r"[ \t\n\r\f]+"
 OOV = "<OOV>"
 
@@ -25,9 +27,30 @@ def lines_to_words(text: Column | str, compat: bool = False) -> Column:
     return tokens(F.replace(text, F.lit("\n"), F.lit("<eos>" if compat else " <eos> ")))
 
 
-def exploded(df: DataFrame, keys: list[str], text: str, separator: str = SPACE) -> DataFrame:
-    """(keys, pos, word), one row a word, pos from 0."""
-    return df.select(*keys, F.posexplode(tokens(text, separator)).alias("pos", "word"))
+def exploded(df: DataFrame, keys: list[str], text: str, separator: str = SPACE, limit: int | None = None, outer: bool = False) -> DataFrame:
+    """(keys, pos, word), one row a word, pos from 0; of each text the first `limit` words.
+
+    outer: a text that is null or has no word gives a row with pos and word null.
+    """
+    words = tokens(text, separator)
+    return spread(df.select(*keys, text)).select(*keys, (F.posexplode_outer if outer else F.posexplode)(words if limit is None else F.slice(words, 1, limit)).alias("pos", "word"))
+
+
+def word_stream(df: DataFrame, order_by: list[str], text: str) -> tuple[DataFrame, int]:
+    """((order_by, pos, word, following, _idx), size): the words of all texts as one sequence, texts in the order of order_by.
+
+    _idx is from 1; following is the next word of the sequence, also across texts.
+    Texts move once, to be ordered within ranges; words never do.
+    """
+    word = SPACE.replace("[ ", "[^ ")
+    d = spread(df.select(*order_by, F.col(text).alias("__text")))
+    d, size = with_offsets(d, order_by, F.coalesce(F.regexp_count("__text", F.lit(word)), F.lit(0)), F.nullif(F.regexp_extract("__text", word, 0), F.lit("")), "string")
+    d = d.select(*order_by, "_before", "_following", tokens("__text").alias("__words"))
+    n = F.size("__words")
+    ahead = F.concat(F.slice("__words", 2, F.greatest(n, F.lit(1))), F.array("_following"))
+    both = F.when(n > 0, F.arrays_zip(F.col("__words").alias("word"), ahead.alias("following")))
+    d = d.select(*order_by, "_before", F.posexplode(both).alias("pos", "__w"))
+    return d.select(*order_by, "pos", F.col("__w.word").alias("word"), F.col("__w.following").alias("following"), (F.col("_before") + F.col("pos") + 1).alias("_idx")), size
 
 
 def frequency(words: DataFrame) -> DataFrame:
@@ -39,11 +62,16 @@ def vocabulary(freq: DataFrame, min_freq: int = -1, oov: str = "last") -> DataFr
 
     oov = "last": ids from 1, and `<OOV>` with the dropped words' total comes last if
     any was dropped. oov = "first": `<OOV>` is 1, whether needed or not, words go on
-    from 2. A word `<OOV>` of the text is not kept as a word of its own.
+    from 2. A word `<OOV>` of the text is not kept as a word of its own. Words are
+    ranked among those that begin with the same two bytes.
     """
-    d = freq.withColumn("keep", (F.col("freq") >= min_freq) & (F.col("word") != OOV))
-    kept = d.filter("keep")
-    ranked = kept.withColumn("id", F.row_number().over(Window.orderBy("word")) + (1 if oov == "first" else 0)).select("word", F.col("id").cast("long"), "freq")
+    # one condition on freq, so that no part of it sinks below the count and makes another plan of it
+    d = freq.withColumn("keep", F.when(F.col("word") == OOV, False).otherwise(F.col("freq") >= min_freq))
+    kept = d.filter("keep").withColumn("__part", F.hex(F.substring(F.col("word").cast("binary"), 1, 2)))
+    sizes = kept.groupBy("__part").count()
+    before = sizes.select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__before"))  # a row a beginning, 65,793 at most
+    ranked = kept.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy("word"))).join(F.broadcast(before), "__part")
+    ranked = ranked.select("word", (F.col("__rank") + F.col("__before") + (1 if oov == "first" else 0)).cast("long").alias("id"), "freq")
     out = d.filter("not keep").agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("freq"), F.count("*").alias("n"))
     if oov == "first":
         return ranked.unionAll(out.select(F.lit(OOV), F.lit(1).cast("long"), "freq"))
@@ -52,15 +80,16 @@ def vocabulary(freq: DataFrame, min_freq: int = -1, oov: str = "last") -> DataFr
 
 
 def encode(words: DataFrame, vocab: DataFrame, strict: bool = False) -> DataFrame:
-    """words (..., word) with `id`; an unknown word gets the id of `<OOV>`, or is an error if strict or there is no such id.
+    """words (..., word) with `id`; an unknown word gets the id of `<OOV>`, or is an error if strict or there is no such id; a null word has none.
 
-    A plain equi-join: the optimizer broadcasts the vocabulary if it is small enough.
+    A plain equi-join: the optimizer broadcasts the vocabulary if it is small enough; beyond that
+    frequent words are split at run time as skewed partitions are.
     """
     known = vocab.filter(F.col("word") != OOV).select("word", "id")
     other = vocab.agg(F.max(F.when(F.col("word") == OOV, F.col("id"))).alias("__oov"))
     d = words.join(known, "word", "left").crossJoin(F.broadcast(other))  # one row
     missing = F.raise_error(F.concat(F.lit("not in the vocabulary: "), "word")).cast("long")
-    return d.withColumn("id", F.coalesce("id", missing) if strict else F.coalesce("id", "__oov", missing)).drop("__oov")
+    return d.withColumn("id", F.when(F.col("word").isNotNull(), F.coalesce("id", missing) if strict else F.coalesce("id", "__oov", missing))).drop("__oov")
 
 
 def padded(ids: Column | str, length: int) -> Column:
@@ -69,14 +98,14 @@ def padded(ids: Column | str, length: int) -> Column:
 
 
 def sequences(encoded: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, ids) in the order of pos."""
-    return encoded.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
+    """(keys, ids) in the order of pos; rows without an id only keep their keys there."""
+    return encoded.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id")))), lambda x: x["id"]).alias("ids"))
 
 
 def decode(rows: DataFrame, keys: list[str], ids: str, vocab: DataFrame) -> DataFrame:
-    """(keys, text): the words of the ids above 0, joined by blanks."""
-    d = rows.select(*keys, F.posexplode(ids).alias("pos", "id")).filter("id > 0").join(vocab.select("id", "word"), "id")
-    return d.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "word"))), lambda x: x["word"]), " ").alias("text"))
+    """(keys, text): the words of the ids above 0, joined by blanks; empty where there is none."""
+    d = rows.select(*keys, F.posexplode_outer(ids).alias("pos", "id")).join(vocab.select("id", "word"), "id", "left")
+    return d.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("pos", "word")))), lambda x: x["word"]), " ").alias("text"))
 
 
 def unigram(vocab: DataFrame) -> DataFrame:
@@ -90,6 +119,13 @@ def bigrams(pairs: DataFrame) -> DataFrame:
     return c.withColumn("prob", F.col("freq") / F.sum("freq").over(Window.partitionBy("cur")))
 
 
+def word_bigrams(pairs: DataFrame, vocab: DataFrame) -> DataFrame:
+    """bigrams() of (word, target, freq), one row for each pair of words that occurs: only distinct pairs meet the vocabulary."""
+    d = encode(pairs, vocab).select(F.col("id").alias("cur"), F.col("target").alias("word"), "freq")
+    c = encode(d, vocab).groupBy("cur", F.col("id").alias("next")).agg(F.sum("freq").alias("freq"))
+    return c.withColumn("prob", F.col("freq") / F.sum("freq").over(Window.partitionBy("cur")))
+
+
 def bigram_lists(model: DataFrame) -> DataFrame:
     """(cur, nexts): one row a word with its followers and their probabilities."""
     return model.groupBy("cur").agg(F.sort_array(F.collect_list(F.struct("next", F.col("prob").cast("float")))).alias("nexts"))

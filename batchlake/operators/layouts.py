@@ -6,7 +6,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+
+BLOCK = 1 << 18
 
 
 def fold(sequence: DataFrame, columns: int, size: int | None = None) -> tuple[DataFrame, int]:
@@ -22,12 +25,25 @@ def fold(sequence: DataFrame, columns: int, size: int | None = None) -> tuple[Da
     return sequence.filter(F.col("_idx") <= s * columns).withColumns({"lane": F.floor(p / s).cast("long"), "t": (p % s).cast("long")}), s
 
 
-def next_targets(folded: DataFrame, value: str, bidirectional: bool = False) -> DataFrame:
-    """With `target`: the value one step on in the column (a column's last step has none and goes); bidirectional: the value itself."""
+def next_targets(folded: DataFrame, value: str, bidirectional: bool = False, block: int = BLOCK) -> DataFrame:
+    """With `target`: the value one step on in the column (a column's last step has none and goes); bidirectional: the value itself.
+
+    Blocks of consecutive `_idx` are tasks of their own, whatever the number of
+    columns; the first row of a block is also sent to the block before.
+    """
     if bidirectional:
         return folded.withColumn("target", F.col(value))
-    w = Window.partitionBy("lane").orderBy("t")
-    return folded.withColumns({"target": F.lead(value).over(w), "__more": F.lead(F.lit(1)).over(w)}).filter("__more is not null").drop("__more")
+    p = F.col("_idx") - 1
+    at = F.floor(p / block).cast("long")
+    d = folded.withColumn("__block", F.explode(F.when((p % block == 0) & (p > 0), F.array(at, at - 1)).otherwise(F.array(at))))
+    w = Window.partitionBy("__block").orderBy("_idx")
+    d = d.withColumns({"target": F.lead(value).over(w), "__lane": F.lead("lane").over(w)})
+    return d.filter((F.col("__block") == at) & (F.col("__lane") == F.col("lane"))).drop("__block", "__lane")
+
+
+def known_targets(folded: DataFrame, steps: int, following: str = "following") -> DataFrame:
+    """As next_targets() for a sequence that carries each value's follower: no row moves. `steps` is the length of a column."""
+    return folded.filter(F.col("t") < steps - 1).withColumnRenamed(following, "target")
 
 
 def fold_size(steps: int, bidirectional: bool = False) -> int:
@@ -82,6 +98,7 @@ def packed_size(total_slots: int, columns: int) -> int:
 def pack_columns(sequences: DataFrame, columns: int, chunk: int, steps: int | None = None, state: PackState | None = None, shifted: bool = True, seed: int | None = None) -> tuple[DataFrame, PackState]:
     """(lane, t, seq, input, target, is_mask) for sequences (seq from 1, values); mask rows have input 0 and target 1.
 
+    Values are numbers, or arrays (of arrays) of numbers of one shape, such as frames; a mask is filled in that shape.
     shifted: inputs and targets are neighbours (x[j], x[j + 1]) and a sequence of L
     values has L slots; else they are aligned and it has L + 1, masks 0 for both.
     seed: the next sequence is drawn at random.
@@ -101,14 +118,20 @@ def pack_columns(sequences: DataFrame, columns: int, chunk: int, steps: int | No
     plan = spark.createDataFrame(frame, "lane long, t long, n long, seq long, offset long, is_mask boolean")
     d = plan.join(sequences, "seq", "left").withColumn("j", F.explode(F.expr("sequence(0L, n - 1)")))
     at = (F.col("offset") + F.col("j")).cast("int")
-    pick = lambda i: F.get("values", i)
-    one = F.lit(1 if shifted else 0)
+    kind, like = sequences.schema["values"].dataType.elementType, sequences.select(F.filter("values", lambda x: x.isNotNull())[0].alias("x")).filter("x is not null").first()
+    value = lambda i, mask: F.when(F.col("is_mask"), _filled(None if like is None else like.x, mask).cast(kind)).otherwise(F.get("values", i))
     return d.select(
-        "lane", (F.col("t") + F.col("j")).alias("t"), "seq",
-        F.when(F.col("is_mask"), F.lit(0)).otherwise(pick(at)).alias("input"), F.when(F.col("is_mask"), one).otherwise(pick(at + 1 if shifted else at)).alias("target"), "is_mask",
+        "lane", (F.col("t") + F.col("j")).alias("t"), "seq", value(at, 0).alias("input"), value(at + 1 if shifted else at, int(shifted)).alias("target"), "is_mask",
     ), after
 
 
+def _filled(like: object, value: int) -> Column:
+    """`value` in the shape of `like`, which is a number or a nested array."""
+    if isinstance(like, (list, tuple)):
+        return F.array_repeat(_filled(like[0] if like else None, value), len(like))
+    return F.lit(value)
+
+
 def single_column(sequences: DataFrame, length: str = "n") -> DataFrame:
     """(seq, n, t) of sequences (seq, n): with one column the mask before each stands at the running sum of lengths."""
     w = Window.orderBy("seq")

@@ -7,13 +7,32 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 SAMPLED_KEYS = 20_000
 
 
-def _bounds(df: DataFrame, key: str, parts: int) -> list[object]:
-    """Up to parts - 1 values of key that cut it in shares of about one size; from a bounded sample."""
-    n = df.count()
-    share = min(1.0, SAMPLED_KEYS / max(n, 1))
-    keys = df.select(key).filter(F.col(key).isNotNull())
-    got = sorted(r[0] for r in (keys.sample(share, seed=5) if share < 1 else keys).toLocalIterator())
-    return sorted({got[len(got) * i // parts] for i in range(1, parts)}) if got else []
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out to all cores if it is read in fewer than two partitions a core.
+
+    A small table may be one row group of one file, and so one task; a large one stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
+def _range_of(df: DataFrame, key: str, parts: int) -> Column | None:
+    """Number of the range of `key` that a row is in; bounds are literals, from a bounded sample that one pass over the key draws."""
+    if parts <= 1:
+        return None
+    keys = df.select(key).filter(F.col(key).isNotNull()).withColumn("__r", F.rand(5)).orderBy("__r").limit(SAMPLED_KEYS).select(key)
+    got = sorted(r[0] for r in keys.collect())  # at most SAMPLED_KEYS values
+    bounds = sorted({got[len(got) * i // parts] for i in range(1, parts)}) if got else []
+    if not bounds:
+        return None
+    edges = F.array(*(F.lit(b).cast(df.schema[key].dataType) for b in bounds))
+    return F.coalesce(F.size(F.filter(edges, lambda b: b <= F.col(key))), F.lit(0))
+
+
+def _of_range(by_range: dict[int, object], kind: str) -> Column:
+    """The value of a row's range, from one literal a range."""
+    at = F.array(*(F.lit(by_range.get(k)).cast(kind) for k in range(max(by_range, default=0) + 1)))
+    return F.get(at, F.col("__part"))
 
 
 def with_row_index(df: DataFrame, order_by: list[str], name: str = "_idx", parts: int | None = None) -> DataFrame:
@@ -21,24 +40,48 @@ def with_row_index(df: DataFrame, order_by: list[str], name: str = "_idx", parts
 
     With more than one part, rows are ranked within ranges of the first key, whose
     bounds are literals of the plan, and ranges are shifted by the rows before them;
-    so no task ever sees more than its range. `parts` defaults to the number of
+    so no task ever sees more than its range. Besides the pass that the result takes,
+    two passes read the first key alone. `parts` defaults to the number of
     partitions that df is read in. Rows that tie in all keys are numbered in any
     order: give keys that are unique.
     """
-    parts = df.rdd.getNumPartitions() if parts is None else parts
     keys = [F.col(k).asc_nulls_first() for k in order_by]
-    bounds = _bounds(df, order_by[0], parts) if parts > 1 else []
-    if not bounds:
+    part = _range_of(df, order_by[0], df.rdd.getNumPartitions() if parts is None else parts)
+    if part is None:
         return df.withColumn(name, F.row_number().over(Window.orderBy(*keys)).cast("long"))
-    kind = df.schema[order_by[0]].dataType
-    edges = F.array(*(F.lit(b).cast(kind) for b in bounds))
-    part = F.coalesce(F.size(F.filter(edges, lambda b: b <= F.col(order_by[0]))), F.lit(0))
-    d = df.withColumn("__part", part)
-    sizes = d.groupBy("__part").count()
-    before = sizes.select("__part", (F.sum("count").over(Window.orderBy("__part")) - F.col("count")).alias("__before"))
-    ranked = d.withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*keys)))
-    out = ranked.join(F.broadcast(before), "__part")  # one row a part
-    return out.withColumn(name, (F.col("__rank") + F.col("__before")).cast("long")).drop("__part", "__rank", "__before")
+    before, n = {}, 0
+    for r in df.select(part.alias("__part")).groupBy("__part").count().orderBy("__part").collect():  # one row a range
+        before[r[0]] = n
+        n += r[1]
+    ranked = df.withColumn("__part", part).withColumn("__rank", F.row_number().over(Window.partitionBy("__part").orderBy(*keys)))
+    return ranked.withColumn(name, (F.col("__rank") + _of_range(before, "long")).cast("long")).drop("__part", "__rank")
+
+
+def with_offsets(df: DataFrame, order_by: list[str], size: Column, first: Column, kind: str, parts: int | None = None) -> tuple[DataFrame, int]:
+    """(df with `_before` and `_following`, total): for rows that stand for `size` items each, one after another.
+
+    _before: items of all rows before, in the order of order_by; _following: `first`
+    (of type `kind`; null for a row without items) of the next row that has one;
+    total: all items. As in with_row_index(), rows are ordered within ranges of the
+    first key only; what crosses ranges are one sum and one value a range.
+    """
+    keys = [F.col(k).asc_nulls_first() for k in order_by]
+    part = _range_of(df, order_by[0], df.rdd.getNumPartitions() if parts is None else parts)
+    d = df.withColumns({"__size": size.cast("long"), "__first": first, "__part": F.lit(0) if part is None else part})
+    has = F.when(F.col("__first").isNotNull(), F.struct(*order_by))
+    stats = d.groupBy("__part").agg(F.sum("__size").alias("n"), F.min_by("__first", has).alias("first")).orderBy("__part").collect()  # one row a range
+    before, n = {}, 0
+    for r in stats:
+        before[r[0]] = n
+        n += r.n or 0
+    after, ahead = {}, None
+    for r in reversed(stats):
+        after[r[0]] = ahead
+        ahead = ahead if r.first is None else r.first
+    w = Window.partitionBy("__part").orderBy(*keys)
+    d = d.withColumns({"__upto": F.sum("__size").over(w.rowsBetween(Window.unboundedPreceding, 0)), "__next": F.expr("lead(__first) ignore nulls over (partition by __part order by " + ", ".join(f"`{k}` nulls first" for k in order_by) + ")")})
+    d = d.withColumns({"_before": F.col("__upto") - F.col("__size") + _of_range(before, "long"), "_following": F.coalesce("__next", _of_range(after, kind))})
+    return d.drop("__size", "__first", "__part", "__upto", "__next"), n
 
 
 def run_boundaries(value: Column | str, order: list[str], partition: list[str] | None = None) -> Column:

@@ -45,19 +45,20 @@ EV = "ev as (select *, row_number() over (order by event_id) as _idx from events
 # ---- row access
 
 
-@query(f"""with {EV}, p as (select i as pos, (i * 7919) % (select n from sz) + 1 as _idx from range(1, 1001) r(i))
+@query(f"""with {EV}, i as (select unnest(range(1, n + 1)) as i, n from sz), p as (select i as pos, (i * 7919) % n + 1 as _idx from i)
 select pos, _idx, event_id, user_id, value from p join ev using (_idx)""")
 def take_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _events(spark, sf_dir)
-    pos = spark.range(1, 1001).select(F.col("id").alias("pos"), (F.col("id") * 7919 % ev.count() + 1).alias("_idx"))
+    n = ev.count()
+    pos = spark.range(1, n + 1).select(F.col("id").alias("pos"), (F.col("id") * 7919 % n + 1).alias("_idx"))
     return pos.join(ev, "_idx").select("pos", "_idx", "event_id", "user_id", "value")
 
 
-@query("""with l as (select *, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as _idx from lineitem)
-select _idx, l_orderkey, l_linenumber, l_quantity from l where _idx between 1001 and 3000""")
+@query("""with l as (select *, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as _idx from lineitem), z as (select count(*) as n from lineitem)
+select _idx, l_orderkey, l_linenumber, l_quantity from l, z where _idx between n // 4 and n // 2""")
 def range_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = SampleSet.of(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], ["l_quantity"], [])
-    return d.between(1001, 3000).select("_idx", "l_orderkey", "l_linenumber", "l_quantity")
+    return d.between(d.size() // 4, d.size() // 2).select("_idx", "l_orderkey", "l_linenumber", "l_quantity")
 
 
 @query("select count(*) as n from embeddings")
@@ -72,14 +73,14 @@ def shape_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {EV}, e as (select vec_id, embedding, row_number() over (order by vec_id) as _idx from embeddings),
-p as (select i as pos, (i * 31) % least((select n from sz), (select count(*) from e)) + 1 as _idx from range(1, 201) r(i))
+z as (select least((select n from sz), (select count(*) from e)) as m), i as (select unnest(range(1, m + 1)) as i, m from z), p as (select i as pos, (i * 31) % m + 1 as _idx from i)
 select pos, event_type as kind, embedding[1]::double as first, embedding[len(embedding)]::double as last from p join ev using (_idx) join e using (_idx)""")
 def nested_take(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _events(spark, sf_dir)
     e = with_row_index(table(spark, sf_dir, "embeddings"), ["vec_id"])
     both = ev.join(e, "_idx").select("_idx", F.struct(F.col("embedding").alias("_1"), F.struct(F.col("event_type").alias("_1")).alias("_2")).alias("inputs"))
     n = min(ev.count(), e.count())
-    pos = spark.range(1, 201).select(F.col("id").alias("pos"), (F.col("id") * 31 % n + 1).alias("_idx"))
+    pos = spark.range(1, n + 1).select(F.col("id").alias("pos"), (F.col("id") * 31 % n + 1).alias("_idx"))
     return pos.join(both, "_idx").select("pos", F.col("inputs._2._1").alias("kind"), F.col("inputs._1")[0].cast("double").alias("first"), F.element_at("inputs._1", -1).cast("double").alias("last"))
 
 
@@ -124,7 +125,7 @@ def _seen(d: DataFrame) -> DataFrame:
     return d.groupBy("batch", "k").agg(F.count("*").alias("n"), F.min("_idx").alias("first"), F.max("_idx").alias("last"), F.sum("user_id").alias("users"))
 
 
-def _seq_sql(batch: int, epoch: str, start: int, early: bool = False) -> str:
+def _seq_sql(batch: int, epoch: str, start: int | str, early: bool = False) -> str:
     first, later = ("n", "n")
     if early:
         first = f"(case when (n - {start}) % {batch} = 0 and {start} < n then n - 1 else n end)"
@@ -149,11 +150,11 @@ def seq_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sequential(spark, sf_dir, 32, 1, lambda n: n)
 
 
-@query(_seq_sql(8, "16", 29))
+@query(_seq_sql(8, "n", "(n // 3 + 1)"))
 def seq_batches_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = SampleSet(_events(spark, sf_dir), ["user_id"], [])
-    s.sequential_batches(10, 28)
-    return _seen(s.sequential_batches(8, 16))
+    s.sequential_batches(10, s.size() // 3)
+    return _seen(s.sequential_batches(8))
 
 
 @query(_seq_sql(32, "n * 2 + 77", 45))
@@ -183,8 +184,8 @@ IDX = f"{TOK}, w as (select word, row_number() over (order by doc_id, pos) as _i
 
 
 def _folded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    d = with_row_index(vocab.exploded(table(spark, sf_dir, "documents"), ["doc_id"], "text"), ["doc_id", "pos"])
-    return layouts.fold(d.select("_idx", "word"), 8)
+    words, size = vocab.word_stream(table(spark, sf_dir, "documents"), ["doc_id"], "text")
+    return layouts.fold(words, 8, size)
 
 
 @query(f"with {IDX} select lane, count(*) as steps, min(word) as least, max(word) as greatest, max(t) as last from f group by lane")
@@ -195,8 +196,8 @@ def fold_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {IDX}, x as (select *, lead(word) over (partition by lane order by t) as target from f) select lane, t, word as input, target from x where target is not null")
 def fold_next_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, _ = _folded(spark, sf_dir)
-    return layouts.next_targets(d, "word").select("lane", "t", F.col("word").alias("input"), "target")
+    d, steps = _folded(spark, sf_dir)
+    return layouts.known_targets(d, steps).select("lane", "t", F.col("word").alias("input"), "target")
 
 
 @query(f"with {IDX} select lane, t, word as input, word as target from f")
@@ -208,8 +209,8 @@ def fold_bidirectional(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {IDX}, x as (select *, lead(word) over (partition by lane order by t) as target from f)
 select t // 20 as batch, lane, count(*) as steps, string_agg(word || '>' || target, ' ' order by t) as pairs from x where target is not null group by 1, 2""")
 def fold_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, _ = _folded(spark, sf_dir)
-    d = layouts.next_targets(d, "word").withColumn("batch", F.expr("t div 20"))
+    d, steps = _folded(spark, sf_dir)
+    d = layouts.known_targets(d, steps).withColumn("batch", F.expr("t div 20"))
     pair = F.sort_array(F.collect_list(F.struct("t", F.concat("word", F.lit(">"), "target").alias("p"))))
     return d.groupBy("batch", "lane").agg(F.count("*").alias("steps"), F.array_join(F.transform(pair, lambda x: x["p"]), " ").alias("pairs"))
 
@@ -227,21 +228,38 @@ def pack_single_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layouts.single_column(_lengths(spark, sf_dir))
 
 
-def _sequences(spark: SparkSession, sf_dir: str, role: str | None = None) -> DataFrame:
+def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    c = c.filter(F.col("role") == role) if role else c
     s = c.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.length("text").alias("x")))), lambda m: m["x"]).alias("values"))
     return with_row_index(s, ["conv_id"], "seq", parts=1).select("seq", "values")
 
 
-@query()
+def _pack_sql(columns: int, chunk: int, shifted: bool, value: str = "x") -> str:
+    """The plan cell by cell: state are the next sequence and each column's sequence (0: none) and offset."""
+    put = lambda a, x: f"list_concat({a}[1:lane], [{x}], {a}[lane + 2:])"
+    return f"""with recursive s as (select row_number() over (order by conv_id) as seq, list(length(text)::bigint order by turn, length(text)) as v from conversations group by conv_id),
+q as (select list(len(v){"" if shifted else " + 1"} order by seq) as slots, count(*) as n, ceil(sum(len(v){"" if shifted else " + 1"}) / {columns})::bigint as steps from s),
+w as (select i, i // {chunk * columns} * {chunk} as origin, least({chunk}, steps - i // {chunk * columns} * {chunk}) as width from (select unnest(range(steps * {columns})) as i, steps from q)),
+cell as (select i, (i - origin * {columns}) // width as lane, origin + (i - origin * {columns}) % width as t from w),
+r(i, next, seqs, offs, lane, t, seq, off, is_mask) as (
+  select -1::bigint, 1::bigint, list_transform(range({columns}), lambda x: 0::bigint), list_transform(range({columns}), lambda x: 0::bigint), -1::bigint, -1::bigint, 0::bigint, 0::bigint, false
+  union all
+  select i, case when cur = 0 then next % n + 1 else next end, {put("seqs", "case when was + 1 >= slots[now] then 0 else now end")}, {put("offs", "was")},
+    lane, t, cur, case when cur = 0 then 0 else was - 1 end, cur = 0
+  from (select c.i, c.lane, c.t, r.next, r.seqs, r.offs, r.seqs[c.lane + 1] as cur, case when r.seqs[c.lane + 1] = 0 then r.next else r.seqs[c.lane + 1] end as now,
+    case when r.seqs[c.lane + 1] = 0 then 0 else r.offs[c.lane + 1] + 1 end as was, slots, n from r join cell c on c.i = r.i + 1 cross join q))
+select lane, t, r.seq, case when is_mask then 0 else v[off + 1] end as input, case when is_mask then {int(shifted)} else v[off + {2 if shifted else 1}] end as target, is_mask
+from r left join s on s.seq = r.seq where i >= 0"""
+
+
+@query(_pack_sql(8, 15, True))
 def pack_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layouts.pack_columns(_sequences(spark, sf_dir), 8, 15)[0]
 
 
-@query()
+@query(_pack_sql(4, 15, False))
 def pack_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layouts.pack_columns(_sequences(spark, sf_dir, "assistant"), 4, 15, shifted=False)[0]
+    return layouts.pack_columns(_sequences(spark, sf_dir), 4, 15, shifted=False)[0]
 
 
 @query(r"""select conv_id, list_prepend(793470, list(length(text)::bigint order by turn)) as values from conversations group by conv_id""")
@@ -299,34 +317,39 @@ def unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENC = f"{VOCAB}, enc as (select doc_id, pos, coalesce(v.id, (select id from v where word = '<OOV>')) as id from tok left join v on v.word = tok.word and v.word <> '<OOV>')"
 
 
-@query(f"with {ENC} select doc_id, count(*) as n, sum(id)::bigint as total, min(id) as least, max(id) as greatest from enc group by doc_id")
+def _encoded(spark: SparkSession, sf_dir: str, v: DataFrame, limit: int | None = None) -> DataFrame:
+    """Encoded words of all documents; one without a word has a row with no id."""
+    return vocab.encode(vocab.exploded(table(spark, sf_dir, "documents"), ["doc_id"], "text", limit=limit, outer=True), v)
+
+
+@query(f"with {ENC} select doc_id, count(enc.id) as n, sum(enc.id)::bigint as total, min(enc.id) as least, max(enc.id) as greatest from documents left join enc using (doc_id) group by doc_id")
 def encode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = vocab.encode(_words(spark, sf_dir), _vocab(spark, sf_dir))
-    return d.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("id").alias("total"), F.min("id").alias("least"), F.max("id").alias("greatest"))
+    d = _encoded(spark, sf_dir, _vocab(spark, sf_dir))
+    return d.groupBy("doc_id").agg(F.count("id").alias("n"), F.sum("id").alias("total"), F.min("id").alias("least"), F.max("id").alias("greatest"))
 
 
-@query(f"""with {ENC}, s as (select doc_id, list(id order by pos) as a from enc group by doc_id)
+@query(f"""with {ENC}, s as (select doc_id, coalesce(list(id order by pos) filter (id is not null), []) as a from documents left join enc using (doc_id) group by doc_id)
 select doc_id, list_concat(list_transform(range(greatest(0, 50 - len(a))), lambda x: 0::bigint), a[1:50]) as ids from s""")
 def pad_left_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = vocab.encode(_words(spark, sf_dir), _vocab(spark, sf_dir)).filter("pos < 50")
+    d = _encoded(spark, sf_dir, _vocab(spark, sf_dir), 50)
     return vocab.sequences(d, ["doc_id"]).select("doc_id", vocab.padded("ids", 50).alias("ids"))
 
 
-@query(f"with {ENC} select doc_id, string_agg(v.word, ' ' order by pos) as text from enc join v using (id) where pos < 50 group by doc_id")
+@query(f"with {ENC} select doc_id, coalesce(string_agg(v.word, ' ' order by pos), '') as text from documents left join enc using (doc_id) left join v using (id) group by doc_id")
 def decode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vocab(spark, sf_dir)
-    d = vocab.sequences(vocab.encode(_words(spark, sf_dir), v).filter("pos < 50"), ["doc_id"]).select("doc_id", vocab.padded("ids", 50).alias("ids"))
-    return vocab.decode(d, ["doc_id"], "ids", v)
+    return vocab.decode(vocab.sequences(_encoded(spark, sf_dir, v), ["doc_id"]), ["doc_id"], "ids", v)
 
 
 @query(rf"""with {VOCAB}, b as (select item_id, unnest(list_filter(regexp_split_to_array(text, '[ \t\n\r\f]+'), lambda x: x <> '')) as word from benchmark)
-select item_id, count(*) as n, count(*) filter (v.id is null) as unknown, sum(coalesce(v.id, (select id from v where word = '<OOV>')))::bigint as total from b left join v using (word) group by item_id""")
+select item_id, count(b.word) as n, count(*) filter (b.word is not null and v.id is null) as unknown, sum(case when b.word is not null then coalesce(v.id, (select id from v where word = '<OOV>')) end)::bigint as total
+from benchmark left join b using (item_id) left join v on b.word = v.word group by item_id""")
 def encode_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vocab(spark, sf_dir)
-    d = vocab.encode(vocab.exploded(table(spark, sf_dir, "benchmark"), ["item_id"], "text"), v)
+    d = vocab.encode(vocab.exploded(table(spark, sf_dir, "benchmark"), ["item_id"], "text", outer=True), v)
     oov = v.filter(F.col("word") == vocab.OOV).select(F.col("id").alias("oov"))
     d = d.crossJoin(F.broadcast(oov))  # one row
-    return d.groupBy("item_id").agg(F.count("*").alias("n"), F.count_if(F.col("id") == F.col("oov")).alias("unknown"), F.sum("id").alias("total"))
+    return d.groupBy("item_id").agg(F.count("id").alias("n"), F.count_if(F.col("id") == F.col("oov")).alias("unknown"), F.sum("id").alias("total"))
 
 
 @query(f"""with {ENC}, g as (select id, row_number() over (order by doc_id, pos) - 1 as p, count(*) over () // 8 as s from enc),
@@ -334,17 +357,17 @@ x as (select id as cur, lead(id) over (partition by p // s order by p % s) as ne
 c as (select cur, next, count(*) as freq from x where next is not null group by 1, 2)
 select cur, next, freq, freq / sum(freq) over (partition by cur) as prob from c""")
 def bigram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = vocab.encode(_words(spark, sf_dir), _vocab(spark, sf_dir))
-    folded, _ = layouts.fold(with_row_index(d, ["doc_id", "pos"]).select("_idx", "id"), 8)
-    return vocab.bigrams(layouts.next_targets(folded, "id").select(F.col("id").alias("cur"), F.col("target").alias("next")))
+    folded, steps = _folded(spark, sf_dir)
+    pairs = layouts.known_targets(folded, steps).groupBy("word", "target").agg(F.count("*").alias("freq"))
+    return vocab.word_bigrams(pairs, _vocab(spark, sf_dir))
 
 
-@query(rf"""with {FREQ} select count(distinct doc_id) as n_messages, count(*) as n_tokens, (select count(*) from fr where freq >= 3) + 1 as vocabulary,
+@query(rf"""with {FREQ} select (select count(*) from documents) as n_messages, count(*) as n_tokens, (select count(*) from fr where freq >= 3) + 1 as vocabulary,
   (select coalesce(sum(freq), 0)::bigint from fr where freq < 3) as oov_tokens from tok""")
 def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _words(spark, sf_dir)
     f = vocab.frequency(w).agg(F.sum("freq").alias("n_tokens"), F.count_if(F.col("freq") >= 3).alias("v"), F.coalesce(F.sum(F.when(F.col("freq") < 3, F.col("freq"))), F.lit(0)).alias("oov_tokens"))
-    return w.agg(F.countDistinct("doc_id").alias("n_messages")).crossJoin(f).select("n_messages", "n_tokens", (F.col("v") + 1).alias("vocabulary"), "oov_tokens")
+    return table(spark, sf_dir, "documents").agg(F.count("*").alias("n_messages")).crossJoin(f).select("n_messages", "n_tokens", (F.col("v") + 1).alias("vocabulary"), "oov_tokens")
 
 
 @query("select page_id, list_filter(regexp_split_to_array(html, '[\",]+'), lambda x: x <> '')[2] as second, len(list_filter(regexp_split_to_array(html, '[\",]+'), lambda x: x <> '')) as fields from pages")
@@ -358,9 +381,9 @@ def split_on_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", vocab.split_chars("url", ":/.?").alias("parts"))
 
 
-@query(r"select doc_id, list_filter(regexp_split_to_array(replace(text, chr(10), ' <eos> '), '[ \t\n\r\f]+'), lambda x: x <> '')[1:30] as words from documents")
+@query(r"select doc_id, list_filter(regexp_split_to_array(replace(text, chr(10), ' <eos> '), '[ \t\n\r\f]+'), lambda x: x <> '') as words from documents")
 def lines_to_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.slice(vocab.lines_to_words("text"), 1, 30).alias("words"))
+    return table(spark, sf_dir, "documents").select("doc_id", vocab.lines_to_words("text").alias("words"))
 
 
 @query("select doc_id, length(text) - length(replace(text, chr(10), '')) + 1 as lines from documents")
@@ -475,12 +498,12 @@ def class_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {CLS}, o as (select event_id, class_id, row_number() over (partition by class_id order by event_id) as ordinal from events join cl on class_name = event_type),
-d as (select i as pos, {_h("balc", "i")} % (select count(*) from cl) + 1 as class_id from range(1, 2001) r(i)),
+i as (select unnest(range(1, count(*) + 1)) as i from events), d as (select i as pos, {_h("balc", "i")} % (select count(*) from cl) + 1 as class_id from i),
 m as (select pos, class_id, {_h("balm", "pos")} % n + 1 as ordinal from d join cl using (class_id))
 select pos, class_id, ordinal, event_id from m join o using (class_id, ordinal)""")
 def class_balanced_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered, classes = _ordered(spark, sf_dir)
-    return catalog.balanced_draw(ordered, classes, 2000, "bal").select("pos", "class_id", "ordinal", "event_id")
+    return catalog.balanced_draw(ordered, classes, table(spark, sf_dir, "events").count(), "bal").select("pos", "class_id", "ordinal", "event_id")
 
 
 # ---- joins and unions
@@ -493,39 +516,37 @@ def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.positional_join(a, ["n_name"], b, ["s_suppkey"]).select("_idx", "n_name", "s_name")
 
 
-@query("select c_name as src, n_name as dst from customer join nation on c_nationkey = n_nationkey where n_regionkey < 3")
+@query("select c_name as src, n_name as dst from customer join nation on c_nationkey = n_nationkey")
 def lookup_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "customer").select(F.col("c_name").alias("src"), F.col("c_nationkey").alias("k"))
-    classes = table(spark, sf_dir, "nation").filter("n_regionkey < 3").select(F.col("n_nationkey").alias("k"), "n_name")
+    classes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), "n_name")
     return catalog.rename_plan(names, classes, "k", "n_name")
 
 
-@query("select l_returnflag, count(*) as n, sum(l_linenumber)::bigint as total from lineitem group by 1")
+@query("""with p as (select c_nationkey as nation, c_acctbal as balance from customer union all select s_nationkey, s_acctbal from supplier)
+select nation, count(*) as n, min(balance) as least, max(balance) as most from p group by 1""")
 def union_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linenumber", "l_orderkey")
-    parts = [d.filter(F.col("l_orderkey") % 5 == k) for k in range(5)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_linenumber").cast("long").alias("total"))
+    parts = [table(spark, sf_dir, t).select(F.col(f"{c}_nationkey").alias("nation"), F.col(f"{c}_acctbal").alias("balance")) for t, c in (("customer", "c"), ("supplier", "s"))]
+    return parts[0].unionByName(parts[1]).groupBy("nation").agg(F.count("*").alias("n"), F.min("balance").alias("least"), F.max("balance").alias("most"))
 
 
-@query("""select conv_id, turn // 2 as step, max(text) filter (role = 'user') as input, max(text) filter (role = 'assistant') as target
+@query("""select conv_id, turn // 2 as step, coalesce(list(text order by turn, text) filter (role = 'user'), []) as input, coalesce(list(text order by turn, text) filter (role = 'assistant'), []) as target
 from conversations where role <> 'system' group by 1, 2""")
 def paired_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages of both sides that share a step, all of them."""
     c = table(spark, sf_dir, "conversations").filter("role <> 'system'").withColumn("step", F.expr("turn div 2"))
-    pick = lambda r: F.max(F.when(F.col("role") == r, F.col("text")))
+    pick = lambda r: F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == r, F.struct("turn", "text")))), lambda x: x["text"])
     return c.groupBy("conv_id", "step").agg(pick("user").alias("input"), pick("assistant").alias("target"))
 
 
 @query(rf"""with {TOK}, fr as (select word, count(*) as freq from tok group by word),
-kept as (select word, row_number() over (order by word) + 1 as id from fr where freq >= 3),
-e as (select doc_id, list(coalesce(id, 1) order by pos) as a from tok left join kept using (word) where pos < 50 group by doc_id),
+kept as (select word, row_number() over (order by word) + 1 as id from fr where freq >= 3), f50 as (select * from tok where pos < 50),
+e as (select doc_id, coalesce(list(coalesce(id, 1) order by pos) filter (f50.word is not null), []) as a from documents left join f50 using (doc_id) left join kept on f50.word = kept.word group by doc_id),
 o as (select doc_id, list_concat(list_transform(range(greatest(0, 50 - len(a))), lambda x: 0::bigint), a[1:50]) as ids, row_number() over (order by doc_id) as was from e)
 select row_number() over (order by {_h("shuf", "was")}, was) as _idx, doc_id, ids from o""")
 def message_training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Count, vocabulary of words seen 3 times, encode, pad to 50, permute."""
-    w = _words(spark, sf_dir)
-    v = vocab.vocabulary(vocab.frequency(w), 3, oov="first")
-    ids = vocab.sequences(vocab.encode(w.filter("pos < 50"), v), ["doc_id"]).select("doc_id", vocab.padded("ids", 50).alias("ids"))
-    return SampleSet.of(ids, ["doc_id"], ["ids"], []).permute("shuf").df.select("_idx", "doc_id", "ids")
+    """Count, vocabulary of words seen 3 times, encode, pad to 50, permute; the order is settled on ids alone."""
+    v = vocab.vocabulary(vocab.frequency(_words(spark, sf_dir)), 3, oov="first")
+    ids = vocab.sequences(_encoded(spark, sf_dir, v, 50), ["doc_id"]).select("doc_id", vocab.padded("ids", 50).alias("ids"))
+    order = SampleSet.of(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], ["doc_id"], []).permute("shuf").df
+    return order.select("_idx", "doc_id").join(ids, "doc_id").select("_idx", "doc_id", "ids")

@@ -115,3 +115,30 @@ def test_message_tokens_of_null(spark):
 def test_index_of_words(spark):
     d = with_row_index(vocab.exploded(spark.createDataFrame([(2, "c d"), (1, "a b")], "k long, t string"), ["k"], "t"), ["k", "pos"])
     assert [r.word for r in d.orderBy("_idx").collect()] == ["a", "b", "c", "d"]
+
+
+def test_word_stream(spark):
+    texts = {k: " ".join(f"w{k}_{i}" for i in range(k % 4)) for k in range(60)} | {3: None, 9: " \n ", 20: "été x"}
+    d = spark.createDataFrame([(k, t) for k, t in reversed(texts.items())], "k long, t string").repartition(5)
+    got, size = vocab.word_stream(d, ["k"], "t")
+    rows = sorted((r._idx, r.word, r.following) for r in got.collect())
+    words = [w for k in sorted(texts) for w in (texts[k] or "").split()]
+    assert size == len(words) and rows == [(i + 1, w, n) for i, (w, n) in enumerate(zip(words, [*words[1:], None]))]
+    none, size = vocab.word_stream(d.filter("false"), ["k"], "t")
+    assert size == 0 and none.count() == 0
+
+
+def test_vocabulary_ranks_bytes(spark):
+    words = ["a", "aa", "ab", "abc", "b", "é", "中", "Z", "<OOV>", "z", "rare"]
+    f = spark.createDataFrame([(w, 1 if w == "rare" else 5) for w in words], "word string, freq long")
+    got = {r.word: r.id for r in vocab.vocabulary(f, 2).collect()}
+    kept = sorted((w for w in words if w not in ("<OOV>", "rare")), key=lambda w: w.encode())
+    assert got == {w: i for i, w in enumerate(kept, 1)} | {"<OOV>": len(kept) + 1}
+
+
+def test_texts_without_words_are_encoded(spark):
+    d = spark.createDataFrame([(1, "a a b"), (2, ""), (3, None)], "k long, t string")
+    v = vocab.vocabulary(vocab.frequency(vocab.exploded(d, ["k"], "t")), 2)
+    s = vocab.sequences(vocab.encode(vocab.exploded(d, ["k"], "t", outer=True), v), ["k"])
+    assert {r.k: r.ids for r in s.collect()} == {1: [1, 1, 2], 2: [], 3: []}
+    assert {r.k: r.text for r in vocab.decode(s, ["k"], "ids", v).collect()} == {1: "a a <OOV>", 2: "", 3: ""}

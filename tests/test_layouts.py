@@ -75,3 +75,20 @@ def test_single_column(spark):
 
 def test_row_index_name(spark):
     assert with_row_index(spark.range(3), ["id"], "seq").columns == ["id", "seq"]
+
+
+def test_targets_across_blocks(spark):
+    d = spark.range(1, 1004).selectExpr("id as _idx", "if(id % 7 = 0, null, id * 10) as value")
+    f, _ = layouts.fold(d, 50)
+    whole, cut = (sorted((r.lane, r.t, r.value or 0, r.target or 0) for r in layouts.next_targets(f, "value", block=b).collect()) for b in (1 << 18, 16))
+    assert whole == cut and len(cut) == 50 * 19
+
+
+def test_pack_columns_of_arrays(spark):
+    values = {1: [[5, 6], [7, 8]], 2: [[9, 10]]}
+    d = spark.createDataFrame([(k, v) for k, v in values.items()], "seq long, values array<array<int>>")
+    rows, _ = layouts.pack_columns(d, 1, 6)
+    assert [(r.input, r.target, r.is_mask) for r in rows.orderBy("t").collect()] == [([0, 0], [1, 1], True), ([5, 6], [7, 8], False), ([0, 0], [1, 1], True)]
+    frames = spark.createDataFrame([(1, [[[1.5], [2.5]]])], "seq long, values array<array<array<double>>>")
+    rows, _ = layouts.pack_columns(frames, 1, 6, shifted=False)
+    assert [(r.input, r.target) for r in rows.orderBy("t").collect()] == [([[0.0], [0.0]],) * 2, ([[1.5], [2.5]],) * 2]
