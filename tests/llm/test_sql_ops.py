@@ -100,15 +100,33 @@ modification, are permitted provided that the following conditions are met:
    contributors may be used to endorse or promote products derived from
    this software without specific prior written permission.
 """
+AGPL = GPL.replace("GNU General Public", "GNU Affero General Public")
+MPL = """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS.
+"""
+ASF = APACHE.replace("Licensed under", "Licensed to the Apache Software Foundation (ASF) under one or more\n   contributor license agreements.  See the NOTICE file distributed with\n   this work for additional information regarding copyright ownership.\n   The ASF licenses this file to You under")
 HEADERS = [
     (GPL, "GPL-3.0-or-later", "<GPLfree3><GPLhope><GPLsee>"), (APACHE, "Apache-2.0", "<Apache2the><Apache2not><Apache2copy><Apache2asis><Apache2see>"), (LGPL, "LGPL-2.1-or-later", "<LGPLfree>"),
     (MIT, "MIT", "<MITperm><MITnotice><AsIsMIT>"), (BSD, "BSD-3-Clause", "<BSDuse><BSDsource><BSDbinary><BSDnames>"),
+    (AGPL, "AGPL-3.0-or-later", "<AGPLfree3><GPLhope><AGPLsee>"), (MPL, "MPL-2.0", "<MPL2>"), (ISC, "ISC", "<ISC><ISCasis>"),
+    (ASF, "Apache-2.0", "<ASFgrant><ASFnotice><ASFthis><Apache2not><Apache2copy><Apache2asis><Apache2see>"), ("/* SPDX-License-Identifier: GPL-2.0-only */\nint x;", "GPL-2.0-only", "<SPDX:GPL-2.0-only>"),
 ]
 
 
 def test_headers_as_published(spark):
     rows = [(k, t) for k, (t, _, _) in enumerate(HEADERS)] + [(10 + k, " ".join(t.split())) for k, (t, _, _) in enumerate(HEADERS[:3])]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sql = licenses.SCAN_SQL
+    same_rows(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")), sql, "/nowhere", views={"documents": pd.DataFrame(rows, columns=["doc_id", "text"])})
     for k, (_, name, run) in enumerate(HEADERS):
         assert got[k].licenses == name and run in got[k].sentences
         if k < 3:
