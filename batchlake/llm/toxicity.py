@@ -65,26 +65,38 @@ def found_lexicon(texts: pa.ChunkedArray, y: np.ndarray, precision: float = 0.9,
     the likelihood ratio of its share in toxic documents and in others is significant; a
     beginning also needs 3 different words, as it stands for a stem.
     """
-    docs, pairs, base = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint64)], 0
+    rate = float(np.mean(y)) if len(y) else 0.0
+    if not 0 < rate < 1:
+        return np.zeros(0, np.uint64)
+    # of each slice only distinct (id, document) pairs are kept, 41 bits of the id and 23 of the document, sorted by id
+    seen, base = [np.zeros(0, np.uint64)], 0
     for _, part in tw.slices(texts):
         w = tw.words(part)
-        for at, h in linear.each(w, KINDS):
-            docs.append(w.doc[at] + base)
-            pairs.append(np.stack([h, w.hash[at]], axis=1))
+        seen += [np.unique((h & ~np.uint64((1 << 23) - 1)) | (w.doc[at] + base).astype(np.uint64)) for at, h in linear.each(w, KINDS)]
         base += len(part)
-    doc, pair = np.concatenate(docs), np.concatenate(pairs)
-    if len(pair) == 0 or not 0 < (rate := float(np.mean(y))) < 1:
-        return np.zeros(0, np.uint64)
-    known, entry = np.unique(pair[:, 0], return_inverse=True)
-    whole = np.zeros(len(known), bool)
-    whole[entry[pair[:, 0] == pair[:, 1]]] = True
-    in_toxic = y[doc] > 0
-    words = np.unique(np.stack([entry[in_toxic].astype(np.uint64), pair[in_toxic, 1]], axis=1), axis=0)
-    words = np.bincount(words[:, 0].astype(np.int64), minlength=len(known))
-    once = np.unique(entry.astype(np.int64) * base + doc)
-    n, toxic = np.bincount(once // base, minlength=len(known)), np.bincount(once // base, y[once % base].astype(float), len(known))
+    if base >= 1 << 23:
+        raise ValueError("the labelled sample has too many rows")
+    key = np.concatenate(seen)
+    del seen
+    key.sort()
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+    is_toxic = y[(key & np.uint64((1 << 23) - 1)).astype(np.int64)] > 0
+    key >>= np.uint64(23)
+    known, toxic = np.unique(key[is_toxic], return_counts=True)
+    n = np.searchsorted(key, known, "right") - np.searchsorted(key, known)
     statistic, _ = linear.ratios(np.stack([n - toxic, toxic]), np.array([1 - rate, rate]) * len(y))
-    return known[(n >= 3) & (toxic >= precision * n) & (statistic[1] > significant) & (whole | (words >= 3))]
+    known = known[(n >= 3) & (toxic >= precision * n) & (statistic[1] > significant)]
+    # what qualifies is looked up in full, with the words that it begins
+    pairs, base = [np.zeros((0, 2), np.uint64)], 0
+    for _, part in tw.slices(texts):
+        w = tw.words(part)
+        for at, h in linear.each(w, KINDS):
+            hit = np.flatnonzero((y[w.doc[at] + base] > 0) & np.isin(h >> np.uint64(23), known))
+            pairs.append(np.unique(np.stack([h[hit], w.hash[at[hit]]], axis=1), axis=0))
+        base += len(part)
+    pairs = np.unique(np.concatenate(pairs), axis=0)
+    entry, words = np.unique(pairs[:, 0], return_counts=True)
+    return entry[np.isin(entry, pairs[pairs[:, 0] == pairs[:, 1], 0]) | (words >= 3)]
 
 
 class Voters:
