@@ -10,14 +10,15 @@ max(1 - p . price, 0) with one price a domain, so the problem has as many unknow
 as there are domains: Newton steps on the prices, each one aggregation that tries
 some step lengths at once, with a weight on the distance from 1 that is lowered
 until the totals are right. They are when each domain's total is within
-`tolerance` of its target, or, where targets are out of reach, when a dual bound
+`tolerance` of its target (or within GRAIN / 10 of all tokens, if that is more), or, where targets are out of reach, when a dual bound
 shows it to be that near to its total at the optimum, or, if the targets are missed by
 far more than that, all totals together within FLOOR of the targets' norm; otherwise
 solve() raises.
 
 Cases: a null or empty text has no tokens and rate 1; without labels there is one
-domain, `clean`; domains without a label get no mass, and a target for them is
-met as far as posteriors allow; repeated rows and null doc_ids are documents of
+domain, `clean`; a domain that has less than GRAIN of all expected tokens, as one without
+a label, counts as absent: its posteriors, some classifier's rounding, get no price and
+its target is not looked at; repeated rows and null doc_ids are documents of
 their own (of equal doc_id and text they share the draw of mix()); of several labels
 of a doc_id the greatest domain counts; an empty table gives no rows; other columns
 are ignored, whatever their names.
@@ -39,7 +40,9 @@ DOMAINS = ("clean", "low", "toxic")
 #: Wanted expected tokens of each domain, as a share of what the corpus has of it.
 TARGETS = {"clean": 1.25, "low": 0.25, "toxic": 0.1}
 KINDS = "Rubp"
-STEPS, TOLERANCE, FLOOR = 40, 1e-3, 1e-5
+STEPS, TOLERANCE, FLOOR = 100, 1e-3, 1e-5
+#: A domain with a smaller share of all expected tokens is absent.
+GRAIN = 1e-6
 LENGTHS = (1, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001)
 
 
@@ -63,11 +66,12 @@ POSTERIORS = [StructField("n_tokens", LongType()), *(StructField(f"p_{d}", Doubl
 
 
 def _posteriors(model: linear.Chosen, keep: str):
-    """(keep, n_tokens, p_*) of rows (keep, text)."""
+    """(keep, n_tokens, p_*) of rows (keep, text), or of rows (keep) where that is a struct with the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at, part in tw.slices(b.column("text")):
+            text = b.column("text") if "text" in b.schema.names else b.column(keep).field("text")
+            for at, part in tw.slices(text):
                 w = linear.tokens(part, model.kinds)
                 p = linear.softmax(model.scores(w))
                 begins = (w.start == w.offsets[w.doc]) | (w.data[w.start - 1] <= 32)  # else it follows on another run
@@ -83,8 +87,8 @@ def replay(p: np.ndarray, prices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(1 - worth, 0), worth
 
 
-def _totals(tried: list[np.ndarray]):
-    """Per partition and vector of prices: token totals, Gram matrix of the documents not at rate 0, sum of n x^2; and the least worth (`low`)."""
+def _totals(tried: list[np.ndarray], present: np.ndarray):
+    """Per partition and vector of prices: token totals, Gram matrix of the documents not at rate 0, sum of n x^2; and the least worth of a unit of posterior (`low`). Only domains that are `present` have posteriors."""
     k = len(DOMAINS)
     size = k + k * k + 1
 
@@ -94,13 +98,14 @@ def _totals(tried: list[np.ndarray]):
             if not b.num_rows:
                 continue
             n = b.column("n_tokens").to_numpy().astype(float)
-            p = np.column_stack([b.column(f"p_{d}").to_numpy() for d in DOMAINS])
+            p = np.column_stack([b.column(f"p_{d}").to_numpy() for d in DOMAINS]) * present
+            unit = np.maximum(p.sum(1), 1e-9)
             for i, prices in enumerate(tried):
                 x, worth = replay(p, prices)
                 out[i, :k] += (n * x) @ p
                 out[i, k:-1] += ((p * (n * (x > 0))[:, None]).T @ p).ravel()
                 out[i, -1] += n @ (x * x)
-                low[i] = np.minimum(low[i], worth.min())
+                low[i] = np.minimum(low[i], (worth / unit).min())
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size)), pa.array(out.ravel()), pa.array(low.ravel())], ["k", "v", "low"])
 
     return run
@@ -111,8 +116,10 @@ def solve(table: DataFrame, targets: dict[str, float], steps: int = STEPS, toler
     k = len(DOMAINS)
     size = k + k * k + 1
 
+    present = np.ones(k)
+
     def totals(tried: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float, float]]:
-        rows = table.mapInArrow(_totals(tried), "k long, v double, low double").groupBy("k").agg(F.sum("v").alias("v"), F.min("low").alias("low")).collect()
+        rows = table.mapInArrow(_totals(tried, present), "k long, v double, low double").groupBy("k").agg(F.sum("v").alias("v"), F.min("low").alias("low")).collect()
         got = np.zeros((len(tried) * size, 2))
         for r in rows:
             got[r.k] = r.v, r.low
@@ -120,8 +127,11 @@ def solve(table: DataFrame, targets: dict[str, float], steps: int = STEPS, toler
 
     prices = np.zeros(k)
     total, gram, _, low = totals([prices])[0]
+    if (total < GRAIN * total.sum()).any():
+        present = np.where(total < GRAIN * total.sum(), 0.0, 1.0)
+        total, gram, _, low = totals([prices])[0]
     wanted = total * np.array([targets[d] for d in DOMAINS])
-    near = tolerance * np.maximum(np.where(wanted > 0, wanted, total), 1.0)
+    near = np.maximum(tolerance * np.maximum(np.where(wanted > 0, wanted, total), 1.0), GRAIN / 10 * total.sum())
     top = float(np.linalg.eigvalsh(gram).max())
     if top <= 0:
         return prices, total, wanted
@@ -172,7 +182,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     stay; columns are those of docs, whatever their names; an empty table gives none.
     """
     model = domain_model(docs, labels, fit_rows)
-    tagged = docs.select(whole_row(docs).alias("__row"), "text")
+    tagged = docs.select(whole_row(docs).alias("__row"))
     table = durable(tagged.mapInArrow(_posteriors(model, "__row"), StructType([tagged.schema["__row"], *POSTERIORS])))
     prices, _, _ = solve(table.filter("n_tokens > 0").drop("__row"), targets)
     draw = F.pmod(F.xxhash64("__row.doc_id", "__row.text", F.lit(11)), F.lit(1000003)) / F.lit(1000003.0)
