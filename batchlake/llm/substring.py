@@ -42,13 +42,14 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from . import words as tw
 from .components import components, local_labels
-from .durable import durable, unpacked, whole_row
+from .durable import durable, quoted, whole_row
 
 REACH = 4
 SAME = 16
 MIN_PARAGRAPH, MIN_RUN, JACCARD, RECALL = 20, 20, 0.7, 0.96
 PIECE = 15  # in the lowest 4 bits of a key: the band, or this for a piece
 BROADCAST_ROWS = 1_000_000  # beyond, a shuffle join gives the same rows
+CUT_ROWS = 256
 HELD_UNITS = 1 << 19  # of a task, before it settles them
 LATER, MORE = np.int64(-(1 << 63)), np.int64(1 << 31)  # in a span: not the first of its task's equal units; a first one that has such
 UNIT_SCHEMA = "key long, content long, doc_id long, pos long, span long"
@@ -400,17 +401,18 @@ def repeats(docs: DataFrame, jaccard: float = JACCARD, recall: float = RECALL, m
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = []
-        for text, spans in zip(b.column("__text").to_pylist(), b.column("__spans").to_pylist()):
-            at, parts = 0, []
-            for s in sorted(spans or [], key=lambda s: s["start"]):
-                parts.append(text[at : s["start"]].rstrip(" "))
-                at = s["end"]
-            if parts:
-                parts.append(text[at:])
-                text = "".join(parts).strip()
-            out.append(text)
-        yield pa.RecordBatch.from_arrays([b.column("__row"), pa.array(out, pa.string())], ["__row", "__text"])
+        for lo in range(0, b.num_rows, CUT_ROWS):
+            some, out = b.slice(lo, CUT_ROWS), []
+            for text, spans in zip(some.column("__text").to_pylist(), some.column("__spans").to_pylist()):
+                at, parts = 0, []
+                for s in sorted(spans or [], key=lambda s: s["start"]):
+                    parts.append(text[at : s["start"]].rstrip(" "))
+                    at = s["end"]
+                if parts:
+                    parts.append(text[at:])
+                    text = "".join(parts).strip()
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([some.column("__row"), pa.array(out, pa.string())], ["__row", "__text"])
 
 
 def remove_repeats(docs: DataFrame, **how: float) -> DataFrame:
@@ -423,10 +425,13 @@ def remove_repeats(docs: DataFrame, **how: float) -> DataFrame:
     spans = repeats(docs, **how).groupBy("doc_id", "salt").agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
     spans = durable(spans.withColumnsRenamed({"doc_id": "__id", "salt": "__salt"}))
     few = spans.count() <= BROADCAST_ROWS // 20
-    d = docs.select(whole_row(docs).alias("__row"), F.col("doc_id").cast("long").alias("__doc"), F.col("text").alias("__text"))
+    # the row's other columns go by in one struct, so each text is there once
+    others = [c for c in docs.columns if c != "text"]
+    d = docs.select(whole_row(docs.select([quoted(c) for c in others])).alias("__row"), F.col("doc_id").cast("long").alias("__doc"), F.col("text").alias("__text"))
     d = d.join(F.broadcast(spans) if few else spans, (F.col("__doc") == F.col("__id")) & (F.expr("shiftright(shiftleft(xxhash64(__text), 48), 48)") == F.col("__salt")), "left")
-    same = unpacked(d.filter("__spans is null"), "__row", docs.columns)
+    value = lambda c: F.col("__text") if c == "text" else F.col("__row").getField(c)
+    same = d.filter("__spans is null").select([value(c).alias(c) for c in docs.columns])
     d = d.filter("__spans is not null").select("__row", "__text", "__spans")
     cut = d.mapInArrow(_cut, StructType([d.schema["__row"], StructField("__text", StringType())])).filter(F.col("__text").rlike(r"[\p{L}\p{N}]"))
-    value = {"text": F.col("__text"), "n_chars": F.length("__text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
-    return same.unionAll(cut.select([value[c].alias(c) if c in value else F.col("__row").getField(c).alias(c) for c in docs.columns]))
+    anew = F.length("__text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    return same.unionAll(cut.select([(anew if c == "n_chars" else value(c)).alias(c) for c in docs.columns]))

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 21
 SLICE_DOCS = 1 << 15
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
