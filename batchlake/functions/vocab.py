@@ -36,19 +36,28 @@ def exploded(df: DataFrame, keys: list[str], text: str, separator: str = SPACE,
     return spread(df.select(*keys, text)).select(*keys, (F.posexplode_outer if outer else F.posexplode)(words if limit is None else F.slice(words, 1, limit)).alias("pos", "word"))
 
 
-def word_stream(df: DataFrame, order_by: list[str], text: str) -> tuple[DataFrame, int]:
-    """((order_by, pos, word, following, _idx), size): the words of all texts as one sequence, texts in the order of order_by.
+def _offsets(df: DataFrame, order_by: list[str], text: str, block: str | None = None) -> tuple[DataFrame, int]:
+    word = SPACE.replace("[ ", "[^ ")
+    d = spread(df.select(*order_by, F.col(text).alias("__text")))
+    return with_offsets(d, order_by, F.coalesce(F.regexp_count("__text", F.lit(word)), F.lit(0)), F.nullif(F.regexp_extract("__text", word, 0), F.lit("")), "string", block=block)
+
+
+def text_stream(df: DataFrame, order_by: list[str], text: str) -> tuple[DataFrame, int]:
+    """((order_by, words, _before, _following), size): texts as parts of one sequence of words, in the order of order_by.
 
-    _idx is from 1; following is the next word of the sequence, also across texts.
+    _before: words of all texts before; _following: the first word after the text, null at the end.
     Texts move once, to be ordered within ranges; words never do.
     """
-    word = SPACE.replace("[ ", "[^ ")
-    d = spread(df.select(*order_by, F.col(text).alias("__text")))
-    d, size = with_offsets(d, order_by, F.coalesce(F.regexp_count("__text", F.lit(word)), F.lit(0)), F.nullif(F.regexp_extract("__text", word, 0), F.lit("")), "string")
-    d = d.select(*order_by, "_before", "_following", tokens("__text").alias("__words"))
-    n = F.size("__words")
-    ahead = F.concat(F.slice("__words", 2, F.greatest(n, F.lit(1))), F.array("_following"))
-    both = F.when(n > 0, F.arrays_zip(F.col("__words").alias("word"), ahead.alias("following")))
+    d, size = _offsets(df, order_by, text)
+    return d.select(*order_by, F.coalesce(tokens("__text"), F.array().cast("array<string>")).alias("words"), "_before", "_following"), size
+
+
+def word_stream(df: DataFrame, order_by: list[str], text: str) -> tuple[DataFrame, int]:
+    """((order_by, pos, word, following, _idx), size): text_stream() with one row a word; _idx is from 1, following is the next word."""
+    d, size = text_stream(df, order_by, text)
+    n = F.size("words")
+    ahead = F.concat(F.slice("words", 2, F.greatest(n, F.lit(1))), F.array("_following"))
+    both = F.when(n > 0, F.arrays_zip(F.col("words").alias("word"), ahead.alias("following")))
     d = d.select(*order_by, "_before", F.posexplode(both).alias("pos", "__w"))
     return d.select(*order_by, "pos", F.col("__w.word").alias("word"), F.col("__w.following").alias("following"), (F.col("_before") + F.col("pos") + 1).alias("_idx")), size
 

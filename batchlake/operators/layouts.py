@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -46,6 +46,38 @@ def known_targets(folded: DataFrame, steps: int, following: str = "following") -
     return folded.filter(F.col("t") < steps - 1).withColumnRenamed(following, "target")
 
 
+def runs(texts: DataFrame, columns: int, size: int, of: Callable[[Column, Column], Column], width: int | None = None, targets: bool = False, whole: bool | None = None) -> DataFrame:
+    """(lane, batch, t, steps, whole, value) for texts (words, _before) of a sequence of `size` words that is folded into columns.
+
+    One row for each part of a text that lies in one column and, if width is given, in
+    one batch of `width` steps; value is of(place in the text from 1, steps). targets:
+    a column's last step, which has no next word, goes. `whole` tells whether the text
+    has all steps of the batch; the argument keeps only such rows, or only others. So
+    words move as parts of texts, or not at all.
+    """
+    s = size // columns
+    width = width or max(s, 1)
+    per, b = -(-s // width), F.col("_before")
+    e = F.least(b + F.size("words"), F.lit(s * columns))
+    number = lambda p: F.floor(p / s).cast("long") * per + F.floor(p % s / width).cast("long")
+
+    def run(g: Column) -> Column:
+        lane = F.floor(g / per).cast("long")
+        first = lane * s + g % per * width
+        end = F.least(first + width, (lane + 1) * s - int(targets))
+        low = F.greatest(b, first)
+        n = F.least(e, end) - low
+        wanted = n > 0 if whole is None else (n > 0) & ((n == end - first) == F.lit(whole))
+        return F.struct(
+            lane.alias("lane"), (g % per).alias("batch"), (low - lane * s).alias("t"), n.alias("steps"), (n == end - first).alias("whole"),
+            F.when(wanted, of((low - b + 1).cast("int"), n.cast("int"))).alias("value"),
+        )
+
+    if s == 0:
+        texts, s, per = texts.filter("false"), 1, 1
+    return texts.select(F.explode(F.when(e > b, F.transform(F.sequence(number(b), number(e - 1)), run))).alias("__run")).select("__run.*").filter("steps > 0" if whole is None else f"steps > 0 and whole = {whole}")
+
+
 def fold_size(steps: int, bidirectional: bool = False) -> int:
     return steps if bidirectional else steps - 1
 

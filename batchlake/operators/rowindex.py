@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SAMPLED_KEYS = 20_000
+BLOCK_BYTES = 16 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -16,6 +17,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
 
 
+def block_count(df: DataFrame) -> int:
+    """How many blocks of about BLOCK_BYTES df makes: the partitions that it is read in, up to eight to each if the optimizer's estimate says that they are large."""
+    parts, size = df.rdd.getNumPartitions(), int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(parts, min(8 * parts, -(-size // BLOCK_BYTES)))
+
+
 def _range_of(df: DataFrame, key: str, parts: int) -> Column | None:
     """Number of the range of `key` that a row is in; bounds are literals, from a bounded sample that one pass over the key draws."""
     if parts <= 1:
@@ -57,16 +64,17 @@ def with_row_index(df: DataFrame, order_by: list[str], name: str = "_idx", parts
     return ranked.withColumn(name, (F.col("__rank") + _of_range(before, "long")).cast("long")).drop("__part", "__rank")
 
 
-def with_offsets(df: DataFrame, order_by: list[str], size: Column, first: Column, kind: str, parts: int | None = None) -> tuple[DataFrame, int]:
+def with_offsets(df: DataFrame, order_by: list[str], size: Column, first: Column, kind: str, parts: int | None = None, block: str | None = None) -> tuple[DataFrame, int]:
     """(df with `_before` and `_following`, total): for rows that stand for `size` items each, one after another.
 
     _before: items of all rows before, in the order of order_by; _following: `first`
     (of type `kind`; null for a row without items) of the next row that has one;
     total: all items. As in with_row_index(), rows are ordered within ranges of the
-    first key only; what crosses ranges are one sum and one value a range.
+    first key only; what crosses ranges are one sum and one value a range. `parts`
+    defaults to block_count(); block: a column for the number of the row's range.
     """
     keys = [F.col(k).asc_nulls_first() for k in order_by]
-    part = _range_of(df, order_by[0], df.rdd.getNumPartitions() if parts is None else parts)
+    part = _range_of(df, order_by[0], block_count(df) if parts is None else parts)
     d = df.withColumns({"__size": size.cast("long"), "__first": first, "__part": F.lit(0) if part is None else part})
     has = F.when(F.col("__first").isNotNull(), F.struct(*order_by))
     stats = d.groupBy("__part").agg(F.sum("__size").alias("n"), F.min_by("__first", has).alias("first")).orderBy("__part").collect()  # one row a range
@@ -81,6 +89,8 @@ def with_offsets(df: DataFrame, order_by: list[str], size: Column, first: Column
     w = Window.partitionBy("__part").orderBy(*keys)
     d = d.withColumns({"__upto": F.sum("__size").over(w.rowsBetween(Window.unboundedPreceding, 0)), "__next": F.expr("lead(__first) ignore nulls over (partition by __part order by " + ", ".join(f"`{k}` nulls first" for k in order_by) + ")")})
     d = d.withColumns({"_before": F.col("__upto") - F.col("__size") + _of_range(before, "long"), "_following": F.coalesce("__next", _of_range(after, kind))})
+    if block is not None:
+        d = d.withColumn(block, F.col("__part").cast("long"))
     return d.drop("__size", "__first", "__part", "__upto", "__next"), n
 
 

@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from batchlake.operators import layouts
 from batchlake.operators.rowindex import with_row_index
@@ -92,3 +94,32 @@ def test_pack_columns_of_arrays(spark):
     frames = spark.createDataFrame([(1, [[[1.5], [2.5]]])], "seq long, values array<array<array<double>>>")
     rows, _ = layouts.pack_columns(frames, 1, 6, shifted=False)
     assert [(r.input, r.target) for r in rows.orderBy("t").collect()] == [([[0.0], [0.0]],) * 2, ([[1.5], [2.5]],) * 2]
+
+
+@pytest.mark.parametrize("columns,width,targets", [(3, 4, True), (3, 4, False), (2, None, False), (5, 1, True), (60, 7, True)])
+def test_runs_of_texts(spark, columns, width, targets):
+    """The parts of texts make up each batch once, with the words and places that folding word by word gives."""
+    words = [f"w{i}" for i in range(50)]
+    cuts = [0, 0, 1, 2, 14, 15, 40, 40, 50]  # texts without a word, of one word, and over several batches and columns
+    texts = [(i, words[a:b], a) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    d = spark.createDataFrame(texts, "k long, words array<string>, _before long").repartition(3)
+    got = layouts.runs(d, columns, len(words), lambda at, n: F.slice("words", at, n), width, targets).collect()
+    s = len(words) // columns
+    want = {(p // s, p % s): words[p] for p in range(s * columns) if p % s < s - targets} if s else {}
+    assert sum(r.steps for r in got) == len(want)
+    assert {(r.lane, r.t + i): w for r in got for i, w in enumerate(r.value)} == want
+    assert all(r.batch == (r.t // width if width else 0) and r.steps == len(r.value) for r in got)
+    n = Counter((lane, t // width if width else 0) for lane, t in want)
+    assert all(r.whole == (r.steps == n[r.lane, r.batch]) for r in got)
+    some = [layouts.runs(d, columns, len(words), lambda at, n: F.slice("words", at, n), width, targets, whole=x).collect() for x in (True, False)]
+    assert sorted(some[0] + some[1]) == sorted(got) and all(r.whole for r in some[0])
+
+
+@pytest.mark.parametrize("name", ["fold_chunk"])
+def test_folds_move_parts_of_texts(spark, name):
+    """One row a part of a text goes on, not one a word."""
+    from batchlake.plans import catalog
+    from conftest import SF
+
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().lower()
+    assert "generate explode" in plan and "posexplode" not in plan
