@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from ..operators.rowindex import spread, with_offsets
+from ..operators.rowindex import block_count, spread, with_offsets
+from . import lookup
 
 SPACE = r"[ \t\n\r\f]+"
 OOV = "<OOV>"
@@ -101,6 +105,42 @@ def encode(words: DataFrame, vocab: DataFrame, strict: bool = False) -> DataFram
     return d.withColumn("id", F.when(F.col("word").isNotNull(), F.coalesce("id", missing) if strict else F.coalesce("id", "__oov", missing))).drop("__oov")
 
 
+def _keyed(df: DataFrame, keys: list[str], blocks: int) -> DataFrame:
+    """df with `__block`, a number below `blocks` by its keys, and dealt out by it."""
+    return df.withColumn("__block", F.pmod(F.xxhash64(*keys), F.lit(blocks).cast("long"))).repartition(blocks, "__block")
+
+
+def _looked_up(texts: DataFrame, known: DataFrame, of: Callable[[pa.Table, pa.Table], pa.Table], schema: StructType) -> DataFrame:
+    """of(rows of a block, what `known` has for it), block by block."""
+
+    def block(rows: pa.Table, found: pa.Table) -> pa.Table:
+        out = of(rows, found)
+        lookup.release()
+        return out
+
+    return texts.groupBy("__block").cogroup(known.groupBy("__block")).applyInArrow(block, schema)
+
+
+def _block_words(texts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(__block, word, id) for the words of each block's texts (__block, __text)."""
+    words = texts.mapInArrow(lookup.distinct_words, "__block long, word string").repartition("word").dropDuplicates(["word", "__block"])
+    return encode(words, vocab)
+
+
+def encode_texts(df: DataFrame, keys: list[str], text: str, vocab: DataFrame, limit: int | None = None, blocks: int | None = None) -> DataFrame:
+    """(keys, ids): as sequences(encode(exploded(df))) for keys that are unique; of each text the first `limit` words.
+
+    Texts move once, to blocks of bounded size; what meets the vocabulary are the distinct words of each block.
+    """
+    d = _keyed(df.select(*keys, F.col(text).alias("__text")), keys, block_count(df) if blocks is None else blocks)
+    schema = StructType([*(d.schema[k] for k in keys), StructField("ids", ArrayType(LongType()))])
+
+    def of(texts: pa.Table, known: pa.Table) -> pa.Table:
+        return texts.select(keys).append_column("ids", lookup.text_ids(lookup.one(texts.column("__text")), known, limit)) if texts.num_rows else pa.table({k: [] for k in schema.names})
+
+    return _looked_up(d, _block_words(d, vocab), of, schema)
+
+
 def padded(ids: Column | str, length: int) -> Column:
     """The first `length` ids, with zeros before them."""
     return F.concat(F.array_repeat(F.lit(0).cast("long"), F.greatest(F.lit(0), length - F.size(ids))), F.slice(ids, 1, length))
@@ -111,10 +151,22 @@ def sequences(encoded: DataFrame, keys: list[str]) -> DataFrame:
     return encoded.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id")))), lambda x: x["id"]).alias("ids"))
 
 
-def decode(rows: DataFrame, keys: list[str], ids: str, vocab: DataFrame) -> DataFrame:
-    """(keys, text): the words of the ids above 0, joined by blanks; empty where there is none."""
-    d = rows.select(*keys, F.posexplode_outer(ids).alias("pos", "id")).join(vocab.select("id", "word"), "id", "left")
-    return d.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("pos", "word")))), lambda x: x["word"]), " ").alias("text"))
+def decode(rows: DataFrame, keys: list[str], ids: str, vocab: DataFrame, blocks: int | None = None) -> DataFrame:
+    """(keys, text) for keys that are unique: the words of the ids above 0, joined by blanks; empty where there is none.
+
+    As in encode_texts(), rows move once, to `blocks` blocks (else as many as there
+    are shuffle partitions), and distinct ids of each block meet the vocabulary.
+    """
+    blocks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) if blocks is None else blocks
+    d = _keyed(rows.select(*keys, F.col(ids).cast("array<bigint>").alias("__ids")), keys, blocks)
+    schema = StructType([*(d.schema[k] for k in keys), StructField("text", StringType())])
+    used = d.mapInArrow(lookup.distinct_ids, "__block long, id long").repartition("id").dropDuplicates(["id", "__block"])
+    known = used.join(vocab.select("id", "word"), "id").select("__block", "id", "word")
+
+    def of(lists: pa.Table, known: pa.Table) -> pa.Table:
+        return lists.select(keys).append_column("text", lookup.id_texts(lookup.one(lists.column("__ids")), known)) if lists.num_rows else pa.table({k: [] for k in schema.names})
+
+    return _looked_up(d, known, of, schema)
 
 
 def unigram(vocab: DataFrame) -> DataFrame:

@@ -142,3 +142,38 @@ def test_texts_without_words_are_encoded(spark):
     s = vocab.sequences(vocab.encode(vocab.exploded(d, ["k"], "t", outer=True), v), ["k"])
     assert {r.k: r.ids for r in s.collect()} == {1: [1, 1, 2], 2: [], 3: []}
     assert {r.k: r.text for r in vocab.decode(s, ["k"], "ids", v).collect()} == {1: "a a <OOV>", 2: "", 3: ""}
+
+
+def test_blocks_of_texts():
+    import pyarrow as pa
+
+    from batchlake.functions import lookup
+
+    texts = ["a  b\tc", None, "", " \n ", "été 中\x0bx\ra", "b", "c\x00d"] * 3
+    words, at = lookup.split(pa.array(["zz", *texts]).slice(1))  # a slice of a larger array
+    want = [[w for w in __import__("re").split(vocab.SPACE, t or "") if w] for t in texts]
+    assert [words.to_pylist()[i:j] for i, j in zip(at, at[1:])] == want
+    known = sorted({w for t in want for w in t}, reverse=True)
+    table = pa.table({"word": known, "id": pa.array(range(7, 7 + len(known)), pa.int64())})
+    number = dict(zip(known, range(7, 7 + len(known))))
+    ids = lookup.text_ids(pa.array(texts), table)
+    assert ids.to_pylist() == [[number[w] for w in t] for t in want]
+    assert lookup.text_ids(pa.array(texts), table, 2).to_pylist() == [[number[w] for w in t[:2]] for t in want]
+    assert lookup.id_texts(ids, table).to_pylist() == [" ".join(t) for t in want]
+    assert lookup.id_texts(pa.array([None, [0, 7, 99], []], pa.list_(pa.int64())), table).to_pylist() == ["", known[0], ""]
+
+
+def test_texts_meet_the_vocabulary_by_block(spark, monkeypatch):
+    """encode_texts() and decode() look up each distinct word or id of a block once, not each place; also in slices."""
+    from batchlake.functions import lookup
+
+    monkeypatch.setattr(lookup, "SLICE_BYTES", 40)
+    d = spark.createDataFrame([(k, " ".join(["a", "b", "été", f"w{k}"] * (k % 5))) for k in range(40)], "k long, t string")
+    v = vocab.vocabulary(vocab.frequency(vocab.exploded(d, ["k"], "t")), 3)
+    e = vocab.encode_texts(d, ["k"], "t", v, blocks=3)
+    old = vocab.sequences(vocab.encode(vocab.exploded(d, ["k"], "t", outer=True), v), ["k"])
+    assert sorted(e.collect()) == sorted(old.collect())
+    back = vocab.decode(e, ["k"], "ids", v, 3)
+    assert {r.k: r.text for r in back.collect()} == {k: " ".join(["a", "b", "été", f"w{k}" if k % 5 > 2 else "<OOV>"] * (k % 5)) for k in range(40)}
+    plan = vocab.decode(old, ["k"], "ids", v)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode_outer(ids" not in plan.lower().replace(" ", "") and "FlatMapCoGroupsInArrow" in plan
