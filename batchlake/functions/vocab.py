@@ -42,8 +42,9 @@ def exploded(df: DataFrame, keys: list[str], text: str, separator: str = SPACE,
 
 def _offsets(df: DataFrame, order_by: list[str], text: str, block: str | None = None) -> tuple[DataFrame, int]:
     word = SPACE.replace("[ ", "[^ ")
-    d = spread(df.select(*order_by, F.col(text).alias("__text")))
-    return with_offsets(d, order_by, F.coalesce(F.regexp_count("__text", F.lit(word)), F.lit(0)), F.nullif(F.regexp_extract("__text", word, 0), F.lit("")), "string", block=block)
+    d = df.select(*order_by, F.col(text).alias("__text"))
+    parts = max(block_count(d), d.sparkSession.sparkContext.defaultParallelism)  # which also deals a small table out
+    return with_offsets(d, order_by, F.coalesce(F.regexp_count("__text", F.lit(word)), F.lit(0)), F.nullif(F.regexp_extract("__text", word, 0), F.lit("")), "string", parts, block)
 
 
 def text_stream(df: DataFrame, order_by: list[str], text: str) -> tuple[DataFrame, int]:
@@ -180,11 +181,22 @@ def bigrams(pairs: DataFrame) -> DataFrame:
     return c.withColumn("prob", F.col("freq") / F.sum("freq").over(Window.partitionBy("cur")))
 
 
-def word_bigrams(pairs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """bigrams() of (word, target, freq), one row for each pair of words that occurs: only distinct pairs meet the vocabulary."""
-    d = encode(pairs, vocab).select(F.col("id").alias("cur"), F.col("target").alias("word"), "freq")
-    c = encode(d, vocab).groupBy("cur", F.col("id").alias("next")).agg(F.sum("freq").alias("freq"))
-    return c.withColumn("prob", F.col("freq") / F.sum("freq").over(Window.partitionBy("cur")))
+def text_bigrams(df: DataFrame, order_by: list[str], text: str, vocab: DataFrame, columns: int) -> DataFrame:
+    """bigrams() of the ids of all texts' words, as one sequence that is folded into columns (a column's last word has no next).
+
+    Pairs are counted in each block of texts; each count then moves once, to the others of its first word.
+    """
+    d, size = _offsets(df, order_by, text, "__block")
+    d = d.select("__block", "_before", F.concat_ws(" ", "__text", "_following").alias("__text"))
+    steps = size // columns
+
+    def of(texts: pa.Table, known: pa.Table) -> pa.Table:
+        if not texts.num_rows:
+            return pa.table({k: pa.array([], pa.int64()) for k in ("cur", "next", "freq")})
+        return lookup.pair_counts(texts.column("_before").to_numpy(), lookup.text_ids(lookup.one(texts.column("__text")), known), columns, steps)
+
+    c = _looked_up(d, _block_words(d, vocab), of, "cur long, next long, freq long").repartition("cur")
+    return c.groupBy("cur", "next").agg(F.sum("freq").alias("freq")).withColumn("prob", F.col("freq") / F.sum("freq").over(Window.partitionBy("cur")))
 
 
 def bigram_lists(model: DataFrame) -> DataFrame:

@@ -177,3 +177,22 @@ def test_texts_meet_the_vocabulary_by_block(spark, monkeypatch):
     assert {r.k: r.text for r in back.collect()} == {k: " ".join(["a", "b", "été", f"w{k}" if k % 5 > 2 else "<OOV>"] * (k % 5)) for k in range(40)}
     plan = vocab.decode(old, ["k"], "ids", v)._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode_outer(ids" not in plan.lower().replace(" ", "") and "FlatMapCoGroupsInArrow" in plan
+
+
+@pytest.mark.parametrize("columns", [1, 3, 500])
+def test_bigrams_of_texts(spark, columns):
+    """Pairs across texts and blocks, none across columns, as folding word by word gives."""
+    texts = {k: " ".join(f"w{(k * i) % 3}" for i in range(k % 4)) for k in range(60)} | {3: None, 9: " \n "}
+    d = spark.createDataFrame(list(texts.items()), "k long, t string").repartition(5)
+    words = [w for k in sorted(texts) for w in (texts[k] or "").split()]
+    v = vocab.vocabulary(vocab.frequency(vocab.exploded(d, ["k"], "t")), 2)
+    ids, s = {r.word: r.id for r in v.collect()}, len(words) // columns
+    want = {}
+    for i in range(s * columns - 1):
+        if i % s < s - 1:
+            pair = ids.get(words[i], ids.get("<OOV>")), ids.get(words[i + 1], ids.get("<OOV>"))
+            want[pair] = want.get(pair, 0) + 1
+    m = vocab.text_bigrams(d, ["k"], "t", v, columns)
+    assert {(r.cur, r.next): r.freq for r in m.collect()} == want
+    plan = m._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
